@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import packing
+from quern.llm import fingerprint, langid, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": packing.op1_packing}
+    return {
+        "op1_packing": packing.op1_packing,
+        "op3_language": langid.op3_language,
+        "op8_fingerprints": fingerprint.op8_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, packing
+from quern.llm import fingerprint, langid, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
         "op3_language": langid.op3_language,
+        "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
     }
 

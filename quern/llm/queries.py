@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, packing, quality
+from quern.llm import fingerprint, langid, packing, quality, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_neighbours": vptree.op2_neighbours,
         "op3_language": langid.op3_language,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,

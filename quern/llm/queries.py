@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, packing, quality, vptree
+from quern.llm import fingerprint, langid, mixing, packing, quality, secret_scan, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_packing": packing.op1_packing,
         "op2_neighbours": vptree.op2_neighbours,
         "op3_language": langid.op3_language,
+        "op4_secrets": secret_scan.op4_secrets,
+        "op5_mixing": mixing.op5_mixing,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
     }

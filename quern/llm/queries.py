@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, mixing, packing, quality, secret_scan, vptree
+from quern.llm import fingerprint, langid, line_dedup, mixing, packing, quality, secret_scan, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +18,11 @@ def queries() -> dict[str, Query]:
         "op3_language": langid.op3_language,
         "op4_secrets": secret_scan.op4_secrets,
         "op5_mixing": mixing.op5_mixing,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.OP6_SQL}

@@ -153,3 +153,55 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, roll: Ro
     """A 64-bit hash of each word's bytes (and length)."""
     p = roll.prefix(data.astype(np.uint64) + np.uint64(1))
     return mix64(roll.ranges(p, starts, ends) + (ends - starts).astype(np.uint64))
+
+
+class WordHasher:
+    """Two independent 64-bit hashes of every word of many texts."""
+
+    STEP = 1 << 20
+
+    def __init__(self) -> None:
+        self.rolls = [Rolling(b) for b in BASES]
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first hash, second hash, index of each text's first word); bytes are taken a megabyte at a time."""
+        starts, ends, first = word_bounds(data, off)
+        out = np.empty((2, len(starts)), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + self.STEP, self.STEP))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                low = starts[i]
+                part = data[low : ends[j - 1]]
+                for row, roll in zip(out, self.rolls, strict=True):
+                    row[i:j] = word_hashes(part, starts[i:j] - low, ends[i:j] - low, roll)
+        return out[0], out[1], first
+
+
+def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:
+    """The least (or largest) of each `width` neighbours; as many results as there are full windows."""
+    pick = np.minimum if least else np.maximum
+    if len(values) < width:
+        return values[:0]
+    done = 1
+    while done * 2 <= width:
+        values = pick(values[:-done], values[done:])
+        done *= 2
+    return values if done == width else pick(values[: len(values) - (width - done)], values[width - done :])
+
+
+class Members:
+    """Fast membership of many values in a set of unsigned 64-bit values: a bit table first, then a search."""
+
+    BITS = 20
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.shift = np.uint64(64 - self.BITS)
+        self.table[self.values >> self.shift] = True
+
+    def where(self, x: np.ndarray) -> np.ndarray:
+        """Indices of the members among x."""
+        likely = np.flatnonzero(self.table[x >> self.shift]) if len(self.values) else np.zeros(0, np.intp)
+        at = np.minimum(np.searchsorted(self.values, x[likely]), max(len(self.values) - 1, 0))
+        return likely[self.values[at] == x[likely]] if len(likely) else likely

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, line_dedup, mixing, packing, quality, secret_scan, vptree
+from quern.llm import fingerprint, langid, line_dedup, mixing, packing, quality, secret_scan, substring_dedup, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
+        "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import fingerprint, langid, line_dedup, mixing, packing, quality, secret_scan, substring_dedup, vptree
+from quern.llm import fingerprint, jaccard_join, langid, line_dedup, mixing, packing, quality, secret_scan, substring_dedup, vptree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": packing.op1_packing,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op2_neighbours": vptree.op2_neighbours,
         "op3_language": langid.op3_language,
         "op4_secrets": secret_scan.op4_secrets,

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from quern.llm.common import WORD, saved, table
 
 #: Words of a block; slots of an output shard on average; rounds of the permutation.
-BLOCK, SHARD, ROUNDS = 32, 4096, 10
+BLOCK, SHARD, ROUNDS = 32, 4096, 8
 #: Weights by a source's place, the share of all words that is mixed, and how often a word may be taken.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 #: Documents of a source are numbered within buckets of about so many documents of the whole table.
@@ -53,12 +53,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("src", "source", "source_size", target.alias("target"))
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """x under a pseudorandom permutation of 0 to n - 1: each round swaps x and its mirror image, or not, by a hash bit of the pair."""
+def permuted(x: Column, n: Column, key: Column) -> Column:
+    """x under a pseudorandom permutation of 0 to n - 1, another one for each value of the long key.
+
+    Each round swaps x and its mirror image about a random point, or not, by a hash bit of the pair.
+    """
 
     def turn(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x, n)
-        return F.when(F.pmod(F.xxhash64(F.greatest(x, mirror), r, *key), F.lit(2)) == 1, mirror).otherwise(x)
+        mirror = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        return F.when(F.xxhash64(F.greatest(x, mirror), key, r) > 0, mirror).otherwise(x)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
@@ -90,20 +93,17 @@ def mixture(sizes: DataFrame, block: int = BLOCK, seed: int = 7, repeats: int =
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.select("src", "block", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"))
 
-    # Slots: dealt in chunks, so that a large source's are made by many tasks.
+    # Slots: dealt in chunks, so that a large source's are made by many tasks; a fixed number, as chunks look small before they are spread.
     blocks = F.ceil(F.col("source_size") / block)
     slots = source.filter("source_size > 0").select("src", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * repeats).alias("slots"))
     shards = -(-(slots.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // SHARD) or 1
-    slots = slots.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("chunk")).repartition("src", "chunk")
+    slots = slots.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("chunk"))
+    slots = slots.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     slots = slots.select("src", "blocks", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, F.col("slots")) - 1)).alias("slot"))
-    turn = F.floor(F.col("slot") / F.col("blocks"))
-    slots = slots.select(
-        "src",
-        turn.alias("pass"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "src", "slot"), F.lit(shards)).alias("shard"),
-        permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("src"), turn).alias("block"),
-    )
-    return documents, slots.join(parts, ["src", "block"]).select("shard", "pass", "src", "start", "first", "words")
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "src", "slot"), F.lit(shards))
+    slots = slots.select("src", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), shard.alias("shard"), (F.col("slot") % F.col("blocks")).alias("block"))
+    slots = slots.withColumn("key", F.xxhash64(F.lit(seed), "src", "pass")).withColumn("block", permuted(F.col("block"), F.col("blocks"), F.col("key")))
+    return documents, slots.join(parts.hint("merge"), ["src", "block"]).select("shard", "pass", "src", "start", "first", "words")
 
 
 def counts(parts: DataFrame) -> DataFrame:
@@ -115,13 +115,13 @@ def mixed_texts(docs: DataFrame, sizes: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each pass over its source, a document's taken words, with docs' columns.
 
     A document that a pass takes whole keeps its text; of another, the taken words remain, in order, joined by spaces.
-    Documents of which nothing is taken, or without words, are absent; rows equal in doc_id and text count once.
+    Documents of which nothing is taken, or without words, are absent; rows equal in doc_id and text get the same.
     """
     documents, parts = mixture(sizes, **options)
     taken = parts.groupBy("src", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken"))
     key = documents.filter("size > 0").select("src", "start", F.col("doc_id").alias("id"), F.col("mark").alias("m"), "size")
     wanted = taken.join(key, ["src", "start"]).dropDuplicates(["id", "m", "pass"]).drop("src", "start")
-    texts = docs.withColumn("m0", F.xxhash64("text")).dropDuplicates(["doc_id", "m0"])
+    texts = docs.withColumn("m0", F.xxhash64("text"))
     both = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("m0") == F.col("m")))
     some = F.transform(F.col("parts"), lambda p: F.slice(F.col("all"), p["first"].cast("int") + 1, p["words"].cast("int")))
     both = both.withColumn("all", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))

@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     rest = Window.orderBy("level", "src").rowsBetween(0, Window.unboundedFollowing)
     s = s.withColumn("open", (share * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(up), F.lit(0.0))) / F.sum("w").over(rest))
     # `open`: what a unit of weight gets if all sources before this one stop; the first that need not stop sets it for all
-    level = F.min(F.when(F.col("open") <= F.col("level"), F.col("open"))).over(Window.partitionBy())
+    level = F.min(F.when(F.col("open") <= F.col("level"), F.struct("level", "src", "open"))).over(Window.partitionBy())["open"]
     target = F.least("most", F.coalesce(F.col("w") * level, F.col("most")))
     return s.select("src", "source", "source_size", target.alias("target"))
 

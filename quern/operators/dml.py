@@ -117,7 +117,7 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/v{version:012d}"
     df.write.mode("errorifexists").parquet(path)
     fs, p = _files(spark, root)
-    new, now = p(f"{root}/_next"), p(f"{root}/_current")
+    new, now = p(f"{root}/NEXT"), p(f"{root}/CURRENT")
     out = fs.create(new, True)
     out.write(bytearray(f"v{version:012d}".encode()))
     out.close()
@@ -131,8 +131,8 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     """The current (or a given) version; if a writer was lost between dropping and renaming the pointer, its next one."""
     if version is None:
         fs, p = _files(spark, root)
-        at = p(f"{root}/_current")
-        at = at if fs.exists(at) else p(f"{root}/_next")
+        at = p(f"{root}/CURRENT")
+        at = at if fs.exists(at) else p(f"{root}/NEXT")
         name = spark.read.text(at.toString()).first()[0]
     else:
         name = f"v{version:012d}"

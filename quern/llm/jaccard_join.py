@@ -247,10 +247,10 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the near-duplicates: of each class the document with the least doc_id stays, rows equal to it included once."""
     stay = similar(docs, words, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("first_mark")))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_key")  # noqa: E731  a null id is a key too
-    stay = stay.select(key("doc_id"), F.col("mark").alias("_mark")).distinct()
-    both = docs.select("*", key("doc_id"), F.xxhash64(_text()).alias("_mark")).join(stay.hint("shuffle_hash"), ["_key", "_mark"], "left_semi")
-    return both.dropDuplicates(["_key", "_mark"]).select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("_quern_key")  # noqa: E731  a null id is a key too
+    stay = stay.select(key("doc_id"), F.col("mark").alias("_quern_mark")).distinct()
+    both = docs.select("*", key("doc_id"), F.xxhash64(_text()).alias("_quern_mark")).join(stay.hint("shuffle_hash"), ["_quern_key", "_quern_mark"], "left_semi")
+    return both.dropDuplicates(["_quern_key", "_quern_mark"]).select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,14 +59,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.select(id_col, "mark", line.alias("line")).groupBy(id_col, "mark").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """docs with the text that remains, and n_lines and n_removed: a line is deleted where it belongs to a run of three lines, or is a line of
     `long` characters or more, that also stands in an earlier place.
 
     Earlier is by (id, hash of the text, line); a null id is before others. Rows equal in id and text are one document
     and share its result. A null text counts as one empty line, as does an empty one, and stays as it is. A document may lose all its
-    lines, which leaves an empty text. Other columns are kept; they may not be named n_lines or n_removed.
+    lines, which leaves an empty text. Other columns are kept, except that one with the name of a new column gives way to it.
     """
+    docs = docs.drop(n_lines, n_removed)
     gone = repeated_lines(docs, id_col, text_col, long).select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(_text(text_col)) == F.col("_mark"))
     both = docs.join(gone.hint("shuffle_hash"), same, "left")
@@ -76,7 +77,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
     n = F.when(F.col("_gone").isNull(), F.size(lines)).otherwise(F.size("_lines"))
     columns = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return both.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return both.select(*columns, n.cast("long").alias(n_lines), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(n_removed))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

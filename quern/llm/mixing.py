@@ -118,14 +118,15 @@ def mixed_texts(docs: DataFrame, sizes: DataFrame, **options) -> DataFrame:
     Documents of which nothing is taken, or without words, are absent; rows equal in doc_id and text get the same.
     """
     documents, parts = mixture(sizes, **options)
-    taken = parts.groupBy("src", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("taken"))
-    key = documents.filter("size > 0").select("src", "start", F.col("doc_id").alias("id"), F.col("mark").alias("m"), "size")
-    wanted = taken.join(key, ["src", "start"]).dropDuplicates(["id", "m", "pass"]).drop("src", "start")
-    texts = docs.withColumn("m0", F.xxhash64("text"))
-    both = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("m0") == F.col("m")))
-    some = F.transform(F.col("parts"), lambda p: F.slice(F.col("all"), p["first"].cast("int") + 1, p["words"].cast("int")))
-    both = both.withColumn("all", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    return both.withColumn("text", F.when(F.col("taken") < F.col("size"), F.array_join(F.flatten(some), " ")).otherwise(F.col("text"))).select(*docs.columns)
+    taken = parts.groupBy("src", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_parts"), F.sum("words").alias("_taken"))
+    key = documents.filter("size > 0").select("src", "start", F.col("doc_id").alias("_id"), F.col("mark").alias("_m"), F.col("size").alias("_size"))
+    wanted = taken.join(key, ["src", "start"]).dropDuplicates(["_id", "_m", "pass"]).select("_id", "_m", "_size", "_parts", "_taken")
+    both = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_m")))
+    part = F.col("_taken") < F.col("_size")
+    both = both.withColumn("_all", F.when(part, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    some = F.transform(F.col("_parts"), lambda p: F.slice(F.col("_all"), p["first"].cast("int") + 1, p["words"].cast("int")))
+    text = F.when(part, F.array_join(F.flatten(some), " ")).otherwise(F.col("text"))
+    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

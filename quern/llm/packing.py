@@ -57,7 +57,7 @@ def differencing(lengths: list[int], k: int) -> np.ndarray:
         merges.append((a, b, order))
         heapq.heappush(heap, (-int(both[0]), len(sums) - 1))
     out = np.zeros(n, np.int64)
-    names = {len(sums) - 1: np.arange(k)}
+    names = {len(sums) - 1: np.arange(k)} if n else {}
     for j in range(len(sums) - 1, n - 1, -1):  # from the last merge back to the items
         mine, (a, b, order) = names.pop(j), merges[j - n]
         of_a = np.empty(k, np.int64)

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import BASES, Rolling, held_out, mix64, slices, table, text_bytes, trainable, word_hashes
 
@@ -125,11 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 7)
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from a score of 0.5) of every whole text; null and empty texts get the bias alone.
 
-    All columns of docs are kept; its names may not hold score or predicted.
+    All columns of docs are kept, except that one with the name of a new column gives way to it.
     """
+    docs = docs.drop(score, predicted)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats
     at = docs.columns.index(text_col)
 
@@ -137,21 +139,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         grams, found = Grams(), shared.value
         for batch in batches:
             for part in slices(batch, at, 1 << 20):
-                score = found.scores(*text_bytes(part.column(at)), grams)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                p = found.scores(*text_bytes(part.column(at)), grams)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*part.schema.names, score, predicted])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
-def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = predict_ids(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
-
-
 def predict_ids(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As predict(), but only the id, score and predicted leave the Python worker, not the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,3 +159,9 @@ def predict_ids(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = predict_ids(docs, train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -22,12 +22,12 @@ def _as(docs: DataFrame, columns: list[str]) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject (score of 0.5 or more), with their text as it is."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.predict(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.predict(docs, model, score="_score", predicted="_good").filter("_good = 1").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stand in an earlier place; one that loses all its words goes."""
-    left = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = line_dedup.dedup_lines(docs, n_lines="_lines_in", n_removed="_lines_out").filter((F.col("_lines_out") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _as(left, docs.columns)
 
 

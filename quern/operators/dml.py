@@ -72,9 +72,9 @@ def insert_new(rows: DataFrame, new: DataFrame, table: Table, columns: list[str]
     return Change(rows.unionByName(new), new) if absent(rows, new, list(table.key)) else Change(rows, new.limit(0))
 
 
-def replace(rows: DataFrame, new: DataFrame, table: Table, columns: list[str] | None = None, order: Column | None = None) -> Change:
-    """Whole rows, by key: the last one given wins (by `order`, where keys are given twice); columns that aren't given become NULL."""
-    new = _aligned(new, table, columns) if order is None else _aligned(new.drop("_order"), table, columns)
+def replace(rows: DataFrame, new: DataFrame, table: Table, columns: list[str] | None = None) -> Change:
+    """Whole rows, by key: the last one given wins; columns that aren't given become NULL."""
+    new = _aligned(new, table, columns)
     last = new.withColumn("_n", F.row_number().over(Window.partitionBy(*table.key).orderBy(F.monotonically_increasing_id().desc()))).filter("_n = 1").drop("_n")
     return Change(rows.join(last, list(table.key), "left_anti").unionByName(last), last)
 

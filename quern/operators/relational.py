@@ -24,9 +24,8 @@ DISTINCT = {"max": F.max, "min": F.min, "sum": F.sum_distinct, "count": F.count_
 
 def aggregate(name: str, c: Column | str = "*", *, distinct: bool = False) -> Column:
     """One of MAX, MIN, SUM, COUNT, AVG, of distinct values if asked; COUNT of * counts rows."""
-    if c == "*" if isinstance(c, str) else False:
-        return F.count(F.lit(1))
-    c = F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        c = F.lit(1) if c == "*" else F.col(c)
     return (DISTINCT if distinct else AGGREGATES)[name.lower()](c)
 
 

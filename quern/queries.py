@@ -556,6 +556,34 @@ def d9_when(t):
     return dml.when(dml.delete(done.rows, "n_nationkey > 1"), lambda n: n == 1, done.rows).rows
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 9")
+def d10_select_for_update(t):
+    t("orders").createOrReplaceTempView("orders")
+    return Session(t("orders").sparkSession).sql("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 9 FOR UPDATE")
+
+
+@query(f"SELECT n_nationkey, n_name, CAST(NULL AS DOUBLE) AS n_area FROM ({_N})")
+def d12_alter_table(t):
+    """A column is dropped and another one added; rows written before have NULL there."""
+    df = _nation(t)
+    path = shared(df.sparkSession, "nation")
+    df.write.parquet(path)
+    c = C.Catalog(df.sparkSession)
+    c.create(_NATION, path)
+    c.alter(c.tables["nation"].drop("n_regionkey").add("n_area", "double"))
+    return c.read("nation")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1995-01-01')")
+def d13_expire(t):
+    return merge.expire(t("orders"), "o_orderdate < timestamp '1995-01-01'").select("o_orderkey")
+
+
+@query("SELECT count(*) AS n FROM nation WHERE n_regionkey = 2")
+def f23_row_count(t):
+    return dml.delete(_nation(t), "n_regionkey = 2").touched.agg(F.count("*").alias("n"))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
 def d14_prepared(t):
     spark = t("orders").sparkSession

@@ -123,9 +123,10 @@ def mixed_texts(docs: DataFrame, sizes: DataFrame, **options) -> DataFrame:
     wanted = taken.join(key, ["src", "start"]).dropDuplicates(["_id", "_m", "pass"]).select("_id", "_m", "_size", "_parts", "_taken")
     both = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_m")))
     part = F.col("_taken") < F.col("_size")
-    both = both.withColumn("_all", F.when(part, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
-    some = F.transform(F.col("_parts"), lambda p: F.slice(F.col("_all"), p["first"].cast("int") + 1, p["words"].cast("int")))
-    text = F.when(part, F.array_join(F.flatten(some), " ")).otherwise(F.col("text"))
+    # the words are bound by the outer transform, so that they are split once and not for each part
+    cut = lambda every: F.flatten(F.transform(F.col("_parts"), lambda p: F.slice(every, p["first"].cast("int") + 1, p["words"].cast("int"))))
+    some = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut)
+    text = F.when(part, F.array_join(F.get(some, 0), " ")).otherwise(F.col("text"))
     return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -28,6 +28,8 @@ from quern.llm.common import Members, Rolling, WordHasher, mix64, sliding, table
 #: Words of a window and of an anchor's gram; bytes of text in a block, on average.
 WINDOW, GRAM = 35, 6
 BLOCK = 3 << 20
+#: Ranges of keys: an eighth of the blocks' number, so that a block sends few and long lists of keys, but so many at least.
+PARTS = 64
 
 
 class Parser:
@@ -135,6 +137,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-total // block))
+    parts = min(blocks, max(PARTS, blocks // 8))
     d = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     kind = d.schema["id"].dataType.simpleString()
@@ -149,13 +152,13 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
 
     def index(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return _dealt(key[0].as_py(), blocks, (Parser(joined(t), *tools()).anchors(),))
+        return _dealt(key[0].as_py(), parts, (Parser(joined(t), *tools()).anchors(),))
 
     def factor(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows or not known.num_rows:
-            return _dealt(0, blocks, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+            return _dealt(0, parts, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
         p = Parser(joined(t), *tools())
-        return _dealt(t["block"][0].as_py(), blocks, p.keys(p.factors(Members(_gathered(known, "k0")))))
+        return _dealt(t["block"][0].as_py(), parts, p.keys(p.factors(Members(_gathered(known, "k0")))))
 
     def remove(t: pa.Table, known: pa.Table) -> pa.Table:
         texts = joined(t)

@@ -105,7 +105,12 @@ RESULT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint st
 def _compared(ids: list, texts: list[str], following: list[str]) -> list[pa.Array]:
     """The columns of RESULT for each text and the one that follows it."""
     changed = [edited(t, o) for t, o in zip(texts, following, strict=True)]
-    own, new, after = digests(*joined(texts)), digests(*joined(changed)), digests(*joined(following))
+    new = digests(*joined(changed))
+    if following[:-1] == texts[1:]:  # neighbours in order: each text is digested once
+        codes, size = digests(*joined([*texts, following[-1]]))
+        own, after = (codes[:-1], size[:-1]), (codes[1:], size[1:])
+    else:
+        own, after = digests(*joined(texts)), digests(*joined(following))
     return [
         pa.array(ids, pa.int64()), pa.array(map(len, texts), pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]), pa.array(encoded(*own)), pa.array(encoded(*new)),

@@ -29,8 +29,10 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 20, 1e-6
-#: Classes of a component from which it is split into blocks, classes of a block, and classes of a group of small components.
-LARGE, BLOCK, GROUP = 1000, 500, 500
+#: Classes of a component from which it is split into blocks, classes of a block, and classes of a group of small components;
+#: and the shingles that stand for a class where the sets are long, so that no group outgrows its task.
+LARGE, BLOCK, GROUP = 4000, 2000, 500
+SHINGLES = 1000
 
 _RNG = np.random.default_rng(20)
 _MASK, _FACTOR = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64), _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -166,7 +168,10 @@ def _text():
 
 
 def _verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(node, links, root, large): of each class in wanted (node, doc_id, mark, comp, size), by the groups it is in."""
+    """(node, links, root, large): of each class in wanted (node, doc_id, mark, comp, size), by the groups it is in.
+
+    size is the component's number of classes, or of SHINGLES shingles if that is more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -216,16 +221,16 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
     """
     rows = saved(_described(docs, words), "sets")
     some = rows.filter("n > 0")
-    each = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    each = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("n"))
     classes = saved(each.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     hits = classes.select("node", F.explode("bands").alias("band"))
     centres = hits.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("c")).filter("c > 1").drop("c")
     edges = hits.join(centres, "band").filter("node <> v").select(F.col("node").alias("u"), "v")
     comp = saved(components(edges), "candidates")
-    sizes = comp.groupBy("root").agg(F.count("*").alias("size"))
-    wanted = comp.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
-    wanted = saved(wanted.join(classes.select("node", "rep.*"), "node"), "wanted")
+    comp = comp.join(classes.select("node", "rep.*", "n"), "node")
+    sizes = comp.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / SHINGLES)).alias("size"))
+    wanted = saved(comp.join(sizes, "root").select("node", "doc_id", "mark", F.col("root").alias("comp"), "size"), "wanted")
 
     found = saved(_verified(docs, wanted, words, threshold), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("large"), F.col("root"))).alias("root"))

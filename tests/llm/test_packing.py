@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -10,10 +11,15 @@ from quern.llm.common import table
 tokenizers = pytest.importorskip("tokenizers")
 
 
-def ids_of(text):
+@functools.cache
+def library():
     t = tokenizers.Tokenizer.from_file(packing.byte_bpe())
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return t
+
+
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, texts):

@@ -10,6 +10,9 @@ places it was matched with.
 
 A group of places is never paired with itself: its first place is a minimum, taken before any shuffle as far as possible. All
 is built from DataFrame functions.
+
+With `chars`, runs of one or two lines count too from so many characters in all on. A run of three is then left out where the
+shorter runs within it cover its lines anyway, so that prose has about one run for each line.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from quern.llm.common import saved, table
 
 #: Lines of a run (fixed by the winnowing window), and the characters from which a single line is a run.
 RUN, LONG = 3, 200
+#: Characters from which op6_line_runs takes one or two lines for a run.
+CHARS = 30
 
 
 def _text(text_col: str) -> Column:
@@ -47,9 +52,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(id_col, "mark", at(F.col("r.f")).alias("fp"), F.col("r.p").alias("p"), F.col("r.n").alias("n"), F.xxhash64("r.n", part("a")).alias("k1"), F.xxhash64(part("b"), "r.n").alias("k2"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+def short_fingerprints(docs: DataFrame, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As fingerprints, for runs of three lines, and of one or two lines that have `chars` characters or more in all.
+
+    Runs are left out where shorter ones cover their lines: a pair of two single runs, and a triple of two pairs or singles.
+    """
+    lines = F.split(_text(text_col), "\n", -1)
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.length(x).alias("size")))
+    h, n = F.col("h"), F.size("h")
+    at = lambda i: F.get(h, i)
+    one = lambda i: at(i)["size"] >= chars
+    two = lambda i: at(i)["size"] + at(i + 1)["size"] >= chars
+    place = lambda p, k: F.struct(p.alias("p"), F.lit(k).alias("n"))
+    starts = lambda k: F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+    singles = F.transform(F.filter(starts(1), one), lambda p: place(p, 1))
+    pairs = F.transform(F.filter(starts(2), lambda p: two(p) & ~(one(p) & one(p + 1))), lambda p: place(p, 2))
+    triples = F.transform(F.filter(starts(RUN), lambda p: ~(two(p) & two(p + 1))), lambda p: place(p, RUN))
+    rows = docs.select(F.col(id_col), F.xxhash64(_text(text_col)).alias("mark"), hashed.alias("h"))
+    rows = rows.select(id_col, "mark", "h", F.explode(F.concat(singles, pairs, triples)).alias("r"))
+    part = lambda name: F.transform(F.slice("h", F.col("r.p") + 1, F.col("r.n")), lambda x: x[name])
+    return rows.select(id_col, "mark", F.array_min(part("a")).alias("fp"), F.col("r.p").alias("p"), F.col("r.n").alias("n"), F.xxhash64("r.n", part("a")).alias("k1"), F.xxhash64(part("b"), "r.n").alias("k2"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, chars: int | None = None) -> DataFrame:
     """(id, mark, gone): the numbers of the lines to delete from each document that has any."""
-    found = saved(fingerprints(docs, id_col, text_col, long), "lines")
+    found = saved(fingerprints(docs, id_col, text_col, long) if chars is None else short_fingerprints(docs, chars, id_col, text_col), "lines")
     shared = found.groupBy("fp").agg(F.count("*").alias("c")).filter("c > 1").select("fp")
     runs = found.join(shared, "fp", "left_semi").select("k1", "k2", id_col, "mark", "p", "n")
     place = F.struct(F.col(id_col), "mark", "p")
@@ -59,16 +86,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.select(id_col, "mark", line.alias("line")).groupBy(id_col, "mark").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, n_lines: str = "n_lines", n_removed: str = "n_removed", chars: int | None = None) -> DataFrame:
     """docs with the text that remains, and n_lines and n_removed: a line is deleted where it belongs to a run of three lines, or is a line of
-    `long` characters or more, that also stands in an earlier place.
+    `long` characters or more, that also stands in an earlier place. With `chars`, `long` has no effect, and one or two lines that have so
+    many characters in all are such a run too.
 
     Earlier is by (id, hash of the text, line); a null id is before others. Rows equal in id and text are one document
     and share its result. A null text counts as one empty line, as does an empty one, and stays as it is. A document may lose all its
     lines, which leaves an empty text. Other columns are kept, except that one with the name of a new column gives way to it.
     """
     docs = docs.drop(n_lines, n_removed)
-    gone = repeated_lines(docs, id_col, text_col, long).select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(docs, id_col, text_col, long, chars).select(F.col(id_col).alias("_id"), F.col("mark").alias("_mark"), F.col("gone").alias("_gone"))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(_text(text_col)) == F.col("_mark"))
     both = docs.join(gone.hint("shuffle_hash"), same, "left")
     lines = F.split(_text(text_col), "\n", -1)
@@ -102,3 +130,30 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 """
+
+
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6_line_dedup, with repeats of one or two lines from CHARS characters on."""
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=CHARS)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(_text("text"), 256).alias("kept_sha256"))
+
+
+OP6_RUNS_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), w AS (
+  SELECT *, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT doc_id, i, i + 2 AS e FROM w WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) > 1
+  UNION ALL
+  SELECT doc_id, i, i + 1 FROM w WHERE length(line) + length(b) >= {CHARS} QUALIFY row_number() OVER (PARTITION BY line, b ORDER BY doc_id, i) > 1
+  UNION ALL
+  SELECT doc_id, i, i FROM w WHERE length(line) >= {CHARS} QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, e)) AS i FROM later
+)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+"""

@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_secrets": secret_scan.op4_secrets,
         "op5_mixing": mixing.op5_mixing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op6_line_runs": line_dedup.op6_line_runs,
         "op7_quality": quality.op7_quality,
         "op8_fingerprints": fingerprint.op8_fingerprints,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.OP6_SQL}
+    return {"op6_line_dedup": line_dedup.OP6_SQL, "op6_line_runs": line_dedup.OP6_RUNS_SQL}

@@ -267,6 +267,29 @@ for _how, _sql in {
     _f.__name__ = f"j4_{_how}_join"
     query(_sql)(_f)
 
+
+def _whole(t) -> tuple[DataFrame, DataFrame, Column]:
+    """All customers and all orders; orders in progress and customers in building match nothing."""
+    c, o = t("customer").select("c_custkey", "c_name", "c_mktsegment"), t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return c, o, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") != "P") & (F.col("c_mktsegment") != "BUILDING")
+
+
+_C_ALL, _O_ALL = "(SELECT c_custkey, c_name, c_mktsegment FROM customer) c", "(SELECT o_orderkey, o_custkey, o_orderstatus FROM orders) o"
+_ON_ALL = "c_custkey = o_custkey AND o_orderstatus <> 'P' AND c_mktsegment <> 'BUILDING'"
+for _how, _sql in {
+    **{h: f"SELECT * FROM {_C_ALL} {w} {_O_ALL} ON {_ON_ALL}" for h, w in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN"))},
+    "left_semi": f"SELECT * FROM {_C_ALL} WHERE EXISTS (SELECT 1 FROM {_O_ALL} WHERE {_ON_ALL})",
+    "right_semi": f"SELECT * FROM {_O_ALL} WHERE EXISTS (SELECT 1 FROM {_C_ALL} WHERE {_ON_ALL})",
+    "left_anti": f"SELECT * FROM {_C_ALL} WHERE NOT EXISTS (SELECT 1 FROM {_O_ALL} WHERE {_ON_ALL})",
+    "right_anti": f"SELECT * FROM {_O_ALL} WHERE NOT EXISTS (SELECT 1 FROM {_C_ALL} WHERE {_ON_ALL})",
+}.items():
+
+    def _f(t, how=_how):
+        return join(*_whole(t), how)
+
+    _f.__name__ = f"{'j4' if _how.endswith(('semi', 'anti')) else 'j3'}_{_how}_whole"
+    query(_sql)(_f)
+
 same("j5_comma_join", "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
 same("j6_theta_join", "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation a JOIN region b ON a.n_regionkey > b.r_regionkey")
 same("j6_theta_left_join", "SELECT a.r_regionkey AS x, b.n_nationkey AS y FROM region a LEFT JOIN nation b ON a.r_regionkey > b.n_regionkey AND b.n_nationkey < 10")

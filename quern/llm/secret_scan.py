@@ -22,8 +22,10 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the Markov models judge: so many characters of this alphabet at least, in one run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST = 20
+LEAST = 12
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Parts of a token that are judged too: between / and =, between _ = and -, and between all four, so that a key is met alone behind a path or name.
+PARTS = tuple(rf"[A-Za-z0-9+{more}]{{{LEAST},}}" for more in ("_-", "/", ""))
 #: Labelled samples: the strings of about so many documents, and what is added to each count of a pair of characters.
 SAMPLE, SMOOTH = 4000, 0.5
 HINTED = 4
@@ -127,19 +129,36 @@ def train(samples: DataFrame, smooth: float = SMOOTH) -> Markov:
 def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id with base and spans: arrays of (start, end, kind, value), by start and then kind.
 
-    spans adds to the base the tokens that the model takes for random, where they overlap no base span. A null text
+    spans adds to the base the tokens, or parts of tokens, that the model takes for random, where they overlap no base span. A null text
     is empty and has none. Repeated rows each give a row; other columns are not carried.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
-    rows = docs.select(F.col(id_col), base_spans(text).alias("base"), (none if model is None else markov_spans(text, model)).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select(id_col, by_start(F.col("base")).alias("base"), by_start(F.concat("base", free)).alias("spans"))
+    rows = docs.select(F.col(id_col), base_spans(text).alias("base"), (none if model is None else markov_tokens(text)).alias("tokens"))
+    more = none if model is None else markov_spans(F.col("tokens"), model, F.col("base"))
+    rows = rows.select(id_col, "base", more.alias("more"))
+    return rows.select(id_col, by_start(F.col("base")).alias("base"), by_start(F.concat("base", "more")).alias("spans"))
 
 
-def markov_spans(text: Column, model: Markov) -> Column:
-    """Spans of the tokens whose mean log-likelihood ratio exceeds the model's threshold."""
-    return _spans(text, TOKEN, "markov", lambda hit: F.coalesce(model.score(hit), F.lit(-1.0)) > model.threshold)
+def markov_tokens(text: Column) -> Column:
+    return _spans(text, TOKEN, "markov", lambda hit: F.lit(True))
+
+
+def markov_spans(tokens: Column, model: Markov, base: Column) -> Column:
+    """Spans of the tokens whose mean log-likelihood ratio exceeds the model's threshold, and of such parts of others; none overlaps a base span or a longer one."""
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
+    random = lambda v: F.coalesce(model.score(v), F.lit(-1.0)) > model.threshold
+    clear = lambda m, of: ~F.exists(of, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    def moved(t: Column, s: Column) -> Column:
+        return F.struct((s["start"] + t["start"]).alias("start"), (s["end"] + t["start"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+
+    def judged(t: Column) -> Column:
+        parts = [F.transform(_spans(t["value"], p, "markov", random), lambda s: moved(t, s)) for p in PARTS]
+        free = F.aggregate(F.array(*parts), none, lambda acc, level: F.concat(acc, F.filter(level, lambda m: clear(m, base) & clear(m, acc))))
+        return F.when(clear(t, base) & random(t["value"]), F.array(t)).when(t["value"].rlike("[/=_-]"), free).otherwise(none)
+
+    return F.flatten(F.transform(tokens, judged))
 
 
 def by_start(spans: Column) -> Column:

@@ -90,12 +90,15 @@ def tail_pieces(n: int, least: int = LEAST) -> list[int]:
 class Encoder:
     """Token ids of a text as the tokenizers library gives them for this file, without special tokens.
 
+    With `added`, an added token's string in a text is that token, as by the library's own settings; otherwise it is ordinary text.
+
     The same vocabulary is run by tiktoken, whose ids are equal and which is several times as fast; a text that
     it cannot take (a run beyond its matcher's stack) goes to the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
+        import re
 
         import tiktoken
 
@@ -103,6 +106,7 @@ class Encoder:
             spec = json.load(f)
         self.path, self.slow = path, None
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = re.compile("|".join(map(re.escape, sorted(special)))) if added and special else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
         rest = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -111,6 +115,8 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
+        if self.added is not None and self.added.search(text):
+            return self.exact(text)
         try:
             return self.fast.encode_ordinary(text)
         except BaseException as e:  # the matcher panics beyond its stack
@@ -123,7 +129,7 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = self.added is None
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
@@ -148,7 +154,7 @@ def pack(
     schema = f"`{id_col}` {id_type}, {SCHEMA}" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, added=True)
         next_id = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []  # (id, start, ids, tokens of the document)
         total, out = 0, []

@@ -1,14 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Substring dedup by sampled anchors and window keys over the whole corpus, in place of a relative Lempel-Ziv parse.
 
-The reference is the corpus itself, dealt out in blocks of bounded size. Every block is indexed: of each window of 35
-words the least hash of a six-word gram is its anchor, so that equal windows have equal anchors wherever they stand,
-and the anchors that occur at two or more places, of all blocks, are the only ones where a factor can start. A document is
-then parsed greedily: at such an anchor a factor is begun and extended over every further window whose anchor occurs elsewhere too.
-What a factor holds is checked window by window from one boundary to the other, by 128-bit keys against those of all
-other blocks; the windows that do occur twice are the factor's duplicate spans, exactly as long as they are, and the words that they cover
-are removed.
+No factor is built: nothing is parsed greedily or extended. The corpus is dealt out in blocks of bounded size. Of each window of
+35 words the least hash of a six-word gram is its anchor, so that equal windows have equal anchors wherever they stand.
+A window whose anchor occurs at two or more places, of all blocks, may occur twice; each such window's 128-bit key is
+compared with those of all other blocks. The windows that do occur twice are duplicates, and the words that they cover are removed.
 
-Blocks exchange only keys: first anchors, about 7 of 100 words, and then the keys of windows within factors. Each block and each range
+Blocks exchange only keys: first anchors, about 7 of 100 words, and then the keys of windows with shared anchors. Each block and each range
 of keys is one task's group; keys are made distinct within a block before they leave it, so a passage that a third of all documents share
 counts once for each block. The documents are shuffled once, and the three passes over them read that same shuffle.
 """

@@ -416,6 +416,31 @@ def o7_nulls_last(t):
     return top(_nulled(t), 50, F.desc("v"), F.asc("k"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC")
+def s19_reverse_scan_all(t):
+    return C.key_range(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", reverse=True)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders ORDER BY 1, 2 DESC")
+def o5_ordinal_all(t):
+    return sort(t("orders").select("o_custkey", "o_orderkey"), 1, -2)
+
+
+@query(f"SELECT k, v FROM {_NULLED} ORDER BY v ASC NULLS FIRST, k")
+def o7_nulls_first_all(t):
+    return _nulled(t).orderBy(F.asc("v"), F.asc("k"))
+
+
+@query(f"SELECT k, v FROM {_NULLED} ORDER BY v DESC NULLS LAST, k")
+def o7_nulls_last_all(t):
+    return _nulled(t).orderBy(F.desc("v"), F.asc("k"))
+
+
+same("o6_order_hidden_all", "SELECT o_orderkey FROM orders ORDER BY o_totalprice * 2 DESC, o_orderkey")
+same("a12_order_by_aggregate_all", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_orderkey) DESC")
+same("u9_order_by_all", "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region ORDER BY k DESC")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def o8_top_k(t):
     return top(t("orders").select("o_orderkey", "o_totalprice"), 25, F.desc("o_totalprice"), F.asc("o_orderkey"))

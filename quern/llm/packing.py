@@ -1,7 +1,8 @@
 """Packing documents into fixed token windows by Karmarkar-Karp multiway differencing.
 
 Every document is tokenised where it is read. Its full windows leave at once as windows of their own; the
-rest of it is cut into a few pieces of falling size, and the pieces of many documents are packed together:
+rest of it, its tail, is packed together with the tails of many documents. Most tails stay whole; those that make up a fifth
+of a group's tokens are cut into pieces of falling size, which fill what whole tails leave open. Tails and
 pieces start as partial partitions over k windows (one slot filled), and the two partial partitions with the
 largest imbalance are merged, fullest slot onto emptiest slot, until one remains. Whenever a window of the
 result would exceed its capacity, the window count rises by one and the group is packed again.
@@ -28,6 +29,8 @@ WINDOW = 1024
 END = 0
 #: Windows that are packed together, the slack left in each on average, and the smallest piece a tail is cut into.
 GROUP, SLACK, LEAST = 64, 5, 16
+#: The share of a group's tokens whose tails are cut; all other tails stay whole.
+CUT = 0.2
 
 SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -87,15 +90,29 @@ def tail_pieces(n: int, least: int = LEAST) -> list[int]:
     return [*out, n] if n else out
 
 
+def cut_some(lengths: list[int], share: float = CUT) -> list[list[int]]:
+    """The pieces of each tail: the first tails that make up `share` of all tokens are cut, the others are one piece."""
+    wanted, out = share * sum(lengths), []
+    for n in lengths:
+        out.append(tail_pieces(n) if wanted > 0 else [n])
+        wanted -= n
+    return out
+
+
 class Encoder:
     """Token ids of a text as the tokenizers library gives them for this file, without special tokens.
 
     With `added`, an added token's string in a text is that token, as by the library's own settings; otherwise it is ordinary text.
 
     The same vocabulary is run by tiktoken, whose ids are equal and which is several times as fast; a text that
-    it cannot take (a run beyond its matcher's stack) goes to the tokenizers library itself.
+    it cannot take (a run beyond its matcher's stack), and every text where the file asks for another way to split words than PLAIN, goes
+    to the tokenizers library itself.
     """
 
+    #: How the file must split texts for tiktoken to give its ids, and the pattern of that splitting.
+    PLAIN = {"type": "ByteLevel", "add_prefix_space": False}
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str, added: bool = False):
         import json
         import re
@@ -111,11 +128,12 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        split = spec.get("pre_tokenizer") or {}
+        plain = all(split.get(k) == v for k, v in self.PLAIN.items()) and split.get("use_regex", True) and not spec.get("normalizer")
+        self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
     def __call__(self, text: str) -> list[int]:
-        if self.added is not None and self.added.search(text):
+        if self.fast is None or (self.added is not None and self.added.search(text)):
             return self.exact(text)
         try:
             return self.fast.encode_ordinary(text)
@@ -147,7 +165,9 @@ def pack(
 
     One row per piece: the id column, start and length in the document's ids (its tokens, then id 0), ids_crc32,
     doc_tokens, sequence_id and offset there; with_ids adds the ids themselves. A null or empty text is the single
-    id 0. Repeated rows are packed each on its own. Other columns of `docs` are not carried. No rows give no rows.
+    id 0; a null id is carried as it is. Repeated rows are packed each on its own. Other columns of `docs`, whatever their names, are
+    not carried. No rows give no rows. A very long text is tokenised whole, as ids depend on what precedes them, and its
+    full windows leave in turn. Items of equal length keep the order in which they were read.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -156,7 +176,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, added=True)
         next_id = TaskContext.get().partitionId() << 33
-        waiting: list[tuple] = []  # (id, start, ids, tokens of the document)
+        waiting: list[tuple] = []  # tails: (id, start, ids, tokens of the document)
         total, out = 0, []
 
         def put(doc, start, ids, tokens, seq, offset):
@@ -166,12 +186,17 @@ def pack(
         def level():
             nonlocal next_id, total
             if waiting:
-                where = windows_of([len(w[2]) for w in waiting], window)
+                cuts = cut_some([len(w[2]) for w in waiting])
+                where = windows_of([n for sizes in cuts for n in sizes], window)
                 used = {int(w): i for i, w in enumerate(np.unique(where))}
-                at = dict.fromkeys(used, 0)
-                for w, (doc, start, ids, tokens) in zip(where.tolist(), waiting, strict=True):
-                    put(doc, start, ids, tokens, next_id + used[w], at[w])
-                    at[w] += len(ids)
+                at, window_of = dict.fromkeys(used, 0), iter(where.tolist())
+                for sizes, (doc, start, ids, tokens) in zip(cuts, waiting, strict=True):
+                    first = 0
+                    for size in sizes:
+                        w = next(window_of)
+                        put(doc, start + first, ids[first : first + size], tokens, next_id + used[w], at[w])
+                        at[w] += size
+                        first += size
                 next_id += len(used)
             waiting.clear()
             total = 0
@@ -196,10 +221,8 @@ def pack(
                         next_id += 1
                     if total + n - full > group * (window - SLACK):
                         level()
-                    start = full
-                    for size in tail_pieces(n - full):
-                        waiting.append((doc, start, ids[start : start + size], n))
-                        start += size
+                    if n > full:
+                        waiting.append((doc, full, ids[full:], n))
                     total += n - full
                     if len(out) >= 20_000:
                         yield rows()

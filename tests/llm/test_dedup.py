@@ -83,8 +83,33 @@ def test_substrings_against_brute_force(spark, seed):
         texts.append(r.choice([" ", "\n", "\t \x0b"]).join(words))
     texts[3] = texts[4]
     texts[5] = "la " * 90
-    got = substrings(documents(spark, texts), window=12, gram=3, block=500)
-    assert got == words_left(list(enumerate(texts)), 12)
+    want = words_left(list(enumerate(texts)), 12)
+    for block in (500, 3000, 1 << 20):
+        assert substrings(documents(spark, texts), window=12, gram=3, block=block) == want
+
+
+def parsed(texts, block, known, window=12, gram=3):
+    import pyarrow as pa
+
+    from quern.llm.common import BASES, Rolling, WordHasher
+
+    p = substring_dedup.Parser(pa.array(texts), window, gram, WordHasher(), [Rolling(BASES[1]), Rolling(BASES[0])])
+    return p, p.factors(block, known) if known else None
+
+
+def test_a_long_copy_is_one_factor():
+    """A document that takes 200 words of another block from one place is parsed into one factor with that source."""
+    words = [f"w{i}" for i in range(300)]
+    reference, _ = parsed([" ".join(words)], 5, None)
+    at, anchor, key, length = reference.phrases()
+    known = (anchor, key, substring_dedup.places(5, at))
+    _, (first, n, source) = parsed([" ".join([*(f"a{i}" for i in range(40)), *words[50:250], *(f"b{i}" for i in range(40))])], 6, known)
+    assert len(first) == 1 and n[0] > 170 and source[0] >> 32 == 5
+    assert (source[0] & 0xFFFFFFFF) - 50 == first[0] - 40  # source and copy are in step
+    _, (first, n, source) = parsed([" ".join([*words[20:120], *words[200:280]])], 6, known)
+    assert len(first) == 2 and min(n) > 50
+    _, (first, _, _) = parsed([" ".join(words)], 5, known)
+    assert not len(first)  # a first place is no one's copy
 
 
 def test_substrings_query(spark):

@@ -91,29 +91,22 @@ def drawn(spark: SparkSession, source: DataFrame, seed: int) -> DataFrame:
     """(shard, src, n): how many slots of each output shard fall on each source, by one multinomial draw a shard.
 
     source: (src, slots). Shards have SHARD slots each, but for the last. The sources' running shares are one array, in which each
-    slot looks up its random place by halving; a shard's slots are counted where they are drawn.
+    slot looks up its random place by halving steps; a shard's slots are counted where they are drawn.
     """
     ends = F.sum("slots").over(Window.orderBy("src"))  # one row for each source
-    shares = source.filter("slots > 0").withColumn("end", ends).agg(
-        F.array_sort(F.collect_list(F.struct("end", "src"))).alias("ends"), F.coalesce(F.max("end"), F.lit(0).cast("long")).alias("total")
-    )
+    some = source.filter("slots > 0")
+    levels = max(1, some.count().bit_length())
+    shares = some.withColumn("end", ends).agg(F.array_sort(F.collect_list(F.struct("end", "src"))).alias("e"), F.coalesce(F.max("end"), F.lit(0).cast("long")).alias("total"))
     shards = F.ceil(F.col("total") / SHARD)
+    rows = shares.filter("total > 0").select(F.col("e.end").alias("ends"), F.col("e.src").alias("srcs"), "total", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"))
     # shards are dealt out before their slots are made, as they look small
-    rows = shares.filter("total > 0").select("ends", "total", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     slot = F.explode(F.sequence(F.col("shard") * SHARD, F.least((F.col("shard") + 1) * SHARD, F.col("total")) - 1))
-    rows = rows.select("ends", "total", "shard", slot.alias("slot"))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.col("total"))
-
-    def halve(bounds: Column, _: Column) -> Column:
-        middle = F.floor((bounds["low"] + bounds["high"]) / 2).cast("int")
-        left = F.get(F.col("ends"), middle)["end"] > F.col("place")
-        return F.struct(F.when(left, bounds["low"]).otherwise(middle + 1).alias("low"), F.when(left, middle).otherwise(bounds["high"]).alias("high"))
-
-    whole = F.struct(F.lit(0).alias("low"), (F.size("ends") - 1).alias("high"))
-    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size("ends").cast("double"))).cast("int"))
-    hit = F.aggregate(turns, whole, lambda b, t: F.when(b["low"] < b["high"], halve(b, t)).otherwise(b), lambda b: b["low"])
-    return rows.withColumn("place", place).select("shard", F.get("ends", hit)["src"].alias("src")).groupBy("shard", "src").agg(F.count("*").alias("n"))
+    rows = rows.select("ends", "srcs", "total", "shard", slot.alias("slot"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "slot"), F.col("total"))).withColumn("at", F.lit(0))
+    for step in (1 << k for k in reversed(range(levels))):  # at: how many ends are not above the place
+        rows = rows.withColumn("at", F.col("at") + F.when(F.get("ends", F.col("at") + step - 1) <= F.col("place"), step).otherwise(0))
+    return rows.select("shard", F.get("srcs", F.col("at")).alias("src")).groupBy("shard", "src").agg(F.count("*").alias("n"))
 
 
 def mixture(sizes: DataFrame, block: int = BLOCK, seed: int = 7, repeats: int = REPEATS, **shares) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +145,7 @@ def mixture(sizes: DataFrame, block: int = BLOCK, seed: int = 7, repeats: int =
         "src", "want", F.col("source_size").alias("size"), F.ceil(size / block).alias("blocks"), F.floor(size / block).alias("full"),
         (passes * F.ceil(size / block) + F.ceil((F.col("want") - passes * size) / block)).alias("slots"),
     )
-    counts_ = running(drawn(spark, slots, seed), "src", "shard", "n", "drawn_before")
+    counts_ = running(saved(drawn(spark, slots, seed), "draw"), "src", "shard", "n", "drawn_before")
     got = counts_.groupBy("src").agg(F.sum("n").alias("drawn"))  # one row for each source
     # in whole numbers: slots before a shard = drawn before * slots / drawn, rounded down; a source that drew none has all its slots in shard 0
     scaled = lambda x: F.floor(x.cast("decimal(38,0)") * F.col("slots") / F.col("drawn")).cast("long")

@@ -3,6 +3,9 @@
 Two bigram models over the characters of keys and identifiers are trained by counting labelled samples. A token's
 log-likelihood ratio per character between them tells random strings from ordinary ones. All of it is built from DataFrame functions:
 counts are aggregates, the ratio table is a literal array, and a token is scored by a fold over its characters.
+
+Work is linear in a text and its matches: positions are running sums in two levels, and what a span has taken is masked before the next search,
+so that spans are never compared with each other.
 """
 
 from __future__ import annotations
@@ -31,30 +34,69 @@ SAMPLE, SMOOTH = 4000, 0.5
 HINTED = 4
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """[(gap before, match)] in order, with a last gap and no match: what a fold over positions needs, made in one go."""
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+#: Stands for each character that a span has taken; matches whose positions are summed at a time.
+MASK, STRIDE = "\ue000", 64
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _found(text: Column, pattern: str, keep) -> Column:
+    """[(gap before, match, whether keep(match))] in order, with a last gap and no match."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.transform(both, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.coalesce(x["hit"].isNotNull() & keep(x["hit"]), F.lit(False)).alias("ok")))
 
 
-def _spans(text: Column, pattern: str, kind: str, keep) -> Column:
-    """[(start, end, kind, value)] of the matches that pass keep(match), in code points."""
+def _masked(found: Column) -> Column:
+    """The text again, with the kept matches masked."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["gap"], F.when(x["ok"], F.repeat(F.lit(MASK), F.length(x["hit"]))).otherwise(F.coalesce(x["hit"], F.lit(""))))), "")
+
+
+def _spans(found: Column, kind: str) -> Column:
+    """[(start, end, kind, value)] of the kept matches, in code points.
+
+    A fold that appends copies what it has so far; so matches are taken STRIDE at a time, from the running sum of the strides before.
+    """
     no = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), no.alias("out"))
+    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        start, end = acc["at"] + F.length(x["gap"]), acc["at"] + width(x)
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNotNull() & keep(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def placed(strides: Column) -> Column:
+        sums = F.transform(strides, lambda s: F.aggregate(s, F.lit(0), lambda n, x: n + width(x)))
+        return _once(F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), lambda offsets: within(strides, offsets))
 
-    return F.aggregate(_found(text, pattern), state, step, lambda acc: acc["out"])
+    def within(strides: Column, offsets: Column) -> Column:
+        return F.flatten(F.transform(strides, lambda s, i: F.aggregate(s, F.struct(F.get(offsets, i).alias("at"), no.alias("out")), step, lambda acc: acc["out"])))
+
+    def cut(f: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(f), F.lit(STRIDE))
+        return _once(F.transform(starts, lambda i: F.slice(f, i, F.lit(STRIDE))), placed)
+
+    return _once(found, cut)
+
+
+def _yes(hit: Column) -> Column:
+    return F.lit(True)
+
+
+def _long(hit: Column) -> Column:
+    return F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the base patterns, by kind and start."""
-    yes = lambda hit: F.lit(True)
-    long = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= ASSIGN_LEAST
-    return F.concat(_spans(text, ASSIGN, "assign", long), _spans(text, ACCESS, "access", yes), _spans(text, HEX, "hex", yes))
+    return F.concat(_spans(_found(text, ASSIGN, _long), "assign"), _spans(_found(text, ACCESS, _yes), "access"), _spans(_found(text, HEX, _yes), "hex"))
+
+
+def without_base(text: Column) -> Column:
+    """The text with the base spans masked: assignments first, then access keys and hexadecimal runs in what is left."""
+    return _masked(_found(_masked(_found(text, ASSIGN, _long)), f"{ACCESS}|{HEX}", _yes))
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -129,34 +171,40 @@ def train(samples: DataFrame, smooth: float = SMOOTH) -> Markov:
 def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id with base and spans: arrays of (start, end, kind, value), by start and then kind.
 
-    spans adds to the base the tokens, or parts of tokens, that the model takes for random, where they overlap no base span. A null text
-    is empty and has none. Repeated rows each give a row; other columns are not carried.
+    spans adds to the base the tokens, or parts of tokens, that the model takes for random, in what the base spans leave of a text. A null text
+    is empty and has none; a null id is carried as it is. Repeated rows each give a row, an empty table none; other columns, whatever their names, are not carried. A score equal to
+    the threshold is not random. Very long texts take time in proportion to their length and matches.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
-    rows = docs.select(F.col(id_col), base_spans(text).alias("base"), (none if model is None else markov_tokens(text)).alias("tokens"))
-    more = none if model is None else markov_spans(F.col("tokens"), model, F.col("base"))
+    rows = docs.select(F.col(id_col), base_spans(text).alias("base"), (none if model is None else markov_tokens(without_base(text))).alias("tokens"))
+    more = none if model is None else markov_spans(F.col("tokens"), model)
     rows = rows.select(id_col, "base", more.alias("more"))
     return rows.select(id_col, by_start(F.col("base")).alias("base"), by_start(F.concat("base", "more")).alias("spans"))
 
 
 def markov_tokens(text: Column) -> Column:
-    return _spans(text, TOKEN, "markov", lambda hit: F.lit(True))
+    """Runs of the alphabet, and of masked characters, that hold LEAST unmasked ones in a row."""
+    return _spans(_found(text, f"[A-Za-z0-9+/_=-{MASK}]{{{LEAST},}}", lambda hit: hit.rlike(TOKEN)), "markov")
 
 
-def markov_spans(tokens: Column, model: Markov, base: Column) -> Column:
-    """Spans of the tokens whose mean log-likelihood ratio exceeds the model's threshold, and of such parts of others; none overlaps a base span or a longer one."""
+def markov_spans(tokens: Column, model: Markov) -> Column:
+    """Spans of the tokens whose mean log-likelihood ratio exceeds the model's threshold, and of such parts of others.
+
+    A token with masked characters is judged by its parts only. Parts are taken level by level, each in what those before it left.
+    """
     none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
     random = lambda v: F.coalesce(model.score(v), F.lit(-1.0)) > model.threshold
-    clear = lambda m, of: ~F.exists(of, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
 
-    def moved(t: Column, s: Column) -> Column:
-        return F.struct((s["start"] + t["start"]).alias("start"), (s["end"] + t["start"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+    def parts(value: Column, levels: tuple[str, ...]) -> Column:
+        first, rest = levels[0], levels[1:]
+        found = _found(value, first, random)
+        return _once(found, lambda f: F.concat(_spans(f, "markov"), parts(_masked(f), rest)) if rest else _spans(f, "markov"))
 
     def judged(t: Column) -> Column:
-        parts = [F.transform(_spans(t["value"], p, "markov", random), lambda s: moved(t, s)) for p in PARTS]
-        free = F.aggregate(F.array(*parts), none, lambda acc, level: F.concat(acc, F.filter(level, lambda m: clear(m, base) & clear(m, acc))))
-        return F.when(clear(t, base) & random(t["value"]), F.array(t)).when(t["value"].rlike("[/=_-]"), free).otherwise(none)
+        moved = lambda s: F.struct((s["start"] + t["start"]).alias("start"), (s["end"] + t["start"]).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+        whole = ~t["value"].contains(MASK)
+        return F.when(whole & random(t["value"]), F.array(t)).when(~whole | t["value"].rlike("[/=_-]"), F.transform(parts(t["value"], PARTS), moved)).otherwise(none)
 
     return F.flatten(F.transform(tokens, judged))
 

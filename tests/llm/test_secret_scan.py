@@ -56,3 +56,54 @@ def test_odd_documents(spark, model):
     assert S.scan(empty(spark), model).count() == 0
     none = S.train(S.labelled(empty(spark)))
     assert S.scan(odd(spark), none).count() == odd(spark).count()
+
+
+def test_positions_over_many_strides(spark):
+    text = " é ".join(f"token={'x' * 12}{i} {'0123456789abcdef' * (1 + i % 3)} AKIA{'Z' * 14}{i}" for i in range(500))
+    got = S.scan(documents(spark, [text, "0123456789abcdef " * 64, ""])).select("doc_id", S.listed(S.F.col("base")).alias("b")).collect()
+    assert {r["doc_id"]: r["b"] for r in got} == {0: ",".join(base(text)), 1: ",".join(base("0123456789abcdef " * 64)), 2: ""}
+
+
+def test_time_is_in_proportion_to_matches(spark, model):
+    import time
+
+    took = []
+    for n in (4_000, 4_000, 32_000):  # the first warms up
+        text = "".join(f"{i:016x} q7Zp0XvT3mKd9RfYw2LhB6sNjC4g " for i in range(n))
+        start = time.time()
+        found = S.scan(documents(spark, [text]), model).select(S.F.size("base").alias("b"), S.F.size("spans").alias("s")).collect()[0]
+        took.append(time.time() - start)
+        assert (found["b"], found["s"]) == (n, 2 * n)
+    assert took[2] < 24 * took[1]
+
+
+def test_added_spans_against_plain_rules(spark, model):
+    """Tokens of what the base leaves, judged whole or, failing that, by their parts, with the model's ratios summed in a plain loop."""
+    size, place = len(S.ALPHABET), {c: i for i, c in enumerate(S.ALPHABET)}
+
+    def random(v):
+        pairs = [(a, b) for a, b in zip(v[:-1], v[1:]) if a in place and b in place]
+        return bool(pairs) and sum(round(model.ratios[place[a] * size + place[b]], 6) for a, b in pairs) / len(pairs) > model.threshold
+
+    def mask(text, spans):
+        return "".join(S.MASK if any(a <= i < e for a, e in spans) else c for i, c in enumerate(text))
+
+    def added(text):
+        taken = [tuple(map(int, s.split(":")[1:])) for s in base(text)]
+        left, out = mask(text, taken), []
+        for m in re.finditer(f"[A-Za-z0-9+/_=-{S.MASK}]{{{S.LEAST},}}", left):
+            if S.MASK not in m[0] and random(m[0]):
+                out.append((m.start(), m.end()))
+                continue
+            value = m[0]
+            for p in S.PARTS:
+                hits = [(h.start(), h.end()) for h in re.finditer(p, value) if random(h[0])]
+                out += [(m.start() + a, m.start() + e) for a, e in hits]
+                value = mask(value, hits)
+        return [f"markov:{a}:{e}" for a, e in out]
+
+    key = "q7Zp0XvT3mKd9RfYw2LhB6sNjC4g"
+    texts = [f"see {key} and /usr/share/{key}/lib_of-things", f"token={key}/{key} x", f"a0123456789abcdef{key}=", f"{key[:13]}/{key[:12]}_{key}-the-documentation", "nothing_of_interest/in-these-words"]
+    texts += [r["text"] or "" for r in table(spark, SF, "documents").collect()]
+    rows = S.scan(documents(spark, texts), model).select("doc_id", S.listed(S.F.filter("spans", lambda s: s["kind"] == 3)).alias("m")).collect()
+    assert {r["doc_id"]: sorted(filter(None, r["m"].split(","))) for r in rows} == {i: sorted(added(t)) for i, t in enumerate(texts)}

@@ -29,7 +29,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (u long, v long): root is the least node of its component.
+    """(node, root) of every node of edges (u long, v long), as a table of the shared folder: root is the least node of its component.
 
     Each round writes its edges to the shared folder, so that a lost executor never reaches back over rounds; it ends
     when a round changes nothing: every node then hangs on its root. Rounds grow with the logarithm of the largest component.
@@ -41,6 +41,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         drop_saved(now)
         now = new
         if mark == was:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            found = saved(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots")
+            drop_saved(now)
+            return found
         was = mark
     raise RuntimeError(f"components did not settle in {most} rounds")

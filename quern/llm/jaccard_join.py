@@ -6,8 +6,12 @@ are compared on their MinHash values a few at a time: given the matches so far,
 the similarity reaches the threshold is a tail of a binomial distribution, and a pair is dropped as soon as it falls below
 the tolerance. The pairs that survive are verified on the sets themselves.
 
-Pairs never become rows. Connected classes meet in one group, or, where these are many, block against block; a group
+Pairs never become rows. Connected classes meet in one group, or, where these are many, block against block; where there would be more
+blocks than bands, only the classes that share a band meet, and a pair is compared in the first band that it shares. A group
 compares its pairs in arrays and gives each class's number of links and one link to its component.
+
+With exact=True candidates share a shingle of their prefixes instead of a band: of the sets in one order, the first n - ceil(t n) + 1 shingles, one
+of which any two sets of similarity t have in common; nothing is pruned then.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import BASES, Rolling, WordHasher, mix64, saved, slices, table, text_bytes
+from quern.llm.common import BASES, Rolling, WordHasher, drop_saved, mix64, saved, slices, table, text_bytes
 from quern.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -31,7 +35,9 @@ BANDS, ROWS = 28, 5
 STEP, TOLERANCE = 20, 1e-6
 #: Classes of a component from which it is split into blocks, classes of a block, and classes of a group of small components;
 #: and the shingles that stand for a class where the sets are long, so that no group outgrows its task.
-LARGE, BLOCK, GROUP = 4000, 2000, 500
+LARGE, BLOCK, GROUP = 1000, 500, 500
+#: Blocks of a component from which only classes that share a band meet.
+MOST_BLOCKS = BANDS
 SHINGLES = 1000
 
 _RNG = np.random.default_rng(20)
@@ -76,6 +82,12 @@ def bands(values: np.ndarray) -> np.ndarray:
     return h
 
 
+def prefixes(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """Of each sorted set the first shingles, one of which it has in common with any set of that similarity."""
+    t = Fraction(str(threshold))
+    return [s[: len(s) - math.ceil(t * len(s)) + 1] if len(s) else s for s in sets]
+
+
 def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
     """The fewest matches among n values at which the similarity reaches the threshold with probability `tolerance` at least.
 
@@ -91,22 +103,26 @@ def least_matches(n: int, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 class Verifier:
-    """Links among the classes of one group."""
+    """Links among the classes of one group; with a band, only those between classes that share no earlier one and this one."""
 
-    def __init__(self, sets: list[np.ndarray], threshold: float = THRESHOLD):
+    def __init__(self, sets: list[np.ndarray], threshold: float = THRESHOLD, band: int = -1, prune: bool = True):
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.values = minhashes(sets)
         self.share = Fraction(str(threshold))
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
         self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
         self.flag = np.zeros(int(ids.max(initial=-1)) + 1, bool)
-        self.least = [(n, least_matches(n, threshold)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
+        self.least = [(n, least_matches(n, threshold)) for n in range(STEP, BANDS * ROWS + 1, STEP)] if prune else []
+        self.band, self.keys = band, bands(self.values) if band >= 0 else None
 
     def linked(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of others whose similarity to i reaches the threshold."""
         p, q = self.share.numerator, self.share.denominator
         a, b = self.sizes[i], self.sizes[others]
         others = others[(np.minimum(a, b) * q >= np.maximum(a, b) * p) & (b > 0)] if a else others[:0]
+        if self.band >= 0 and len(others):
+            shared = self.keys[others] == self.keys[i]
+            others = others[shared[:, self.band] & (shared.argmax(axis=1) == self.band)]
         matches, done = np.zeros(len(others), np.int64), 0
         for n, least in self.least:
             if not len(others):
@@ -122,9 +138,8 @@ class Verifier:
         return others[both * q >= (a + self.sizes[others] - both) * p]
 
 
-def _links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _links(nodes: np.ndarray, left: np.ndarray, right: np.ndarray | None, v: Verifier) -> tuple[np.ndarray, np.ndarray]:
     """(number of links, least node that is reached) of each; pairs within left, or between left and right if that is given."""
-    v = Verifier(sets, threshold)
     count, root = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
 
     def top(i: int) -> int:
@@ -145,18 +160,18 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
     return count, np.array([nodes[top(i)] for i in range(len(nodes))], np.int64)
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, n, k1, k2, bands): a 128-bit key of each document's set, and its MinHash bands."""
+def _described(docs: DataFrame, words: int, threshold: float, exact: bool) -> DataFrame:
+    """(doc_id, mark, n, k1, k2, bands): a 128-bit key of each document's set, and its MinHash bands, or its prefix if exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
                 sets = shingler.sets(part.column(2))
-                keys = bands(minhashes(sets)).view(np.int64)
+                keys = [x.view(np.int64) for x in (prefixes(sets, threshold) if exact else bands(minhashes(sets)))]
                 k1 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 k2 = np.array([mix64(s ^ np.uint64(BASES[0])).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), flat], names=["doc_id", "mark", "n", "k1", "k2", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(_text()).alias("mark"), _text().alias("text"))
@@ -167,34 +182,55 @@ def _text():
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(node, links, root, large): of each class in wanted (node, doc_id, mark, comp, size), by the groups it is in.
+def _meetings(wanted: DataFrame, hits: DataFrame, exact: bool) -> DataFrame:
+    """wanted (node, doc_id, mark, comp, size) with keys: the groups (g, i, j, b) that each class is in and its own block there.
 
-    size is the component's number of classes, or of SHINGLES shingles if that is more.
+    size is the component's number of classes, or of SHINGLES shingles if that is more. Small components share groups by a hash (i is -1); a large one
+    has a group for every two of its blocks, and each with itself. A component of more than MOST_BLOCKS blocks has such groups for each of its bands b instead,
+    of those classes that share it.
     """
+    groups = max(1, -(-wanted.count() // GROUP))
+
+    def blocks(size: Column, g: Column, b: Column) -> Column:
+        n = F.ceil(size / BLOCK)
+        own = F.pmod(F.xxhash64("node"), n)
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(g.alias("g"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), b.alias("b"), own.alias("own")))
+
+    none = F.lit(-1).cast("long")
+    alone = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), none.alias("i"), none.alias("j"), none.alias("b"), F.lit(0).cast("long").alias("own")))
+    every = F.when(F.col("size") > LARGE, blocks(F.col("size"), F.col("comp"), none)).otherwise(alone)
+    if exact:
+        return wanted.withColumn("keys", every)
+    wide = F.col("size") > MOST_BLOCKS * BLOCK
+    big = wanted.filter(wide).select("node", "n").join(hits, "node")
+    sizes = big.groupBy("band").agg(F.count("*").alias("c"), F.greatest(F.count("*"), F.ceil(F.sum("n") / SHINGLES)).alias("s")).filter("c > 1")
+    shared = big.join(sizes, "band").select("node", F.explode(blocks(F.col("s"), F.col("band"), F.col("b"))).alias("key"))
+    shared = shared.groupBy("node").agg(F.collect_list("key").alias("shared"))
+    out = wanted.join(shared, "node", "left")
+    return out.withColumn("keys", F.when(wide, F.coalesce("shared", F.array().cast("array<struct<g:bigint,i:bigint,j:bigint,b:bigint,own:bigint>>"))).otherwise(every)).drop("shared")
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float, exact: bool) -> DataFrame:
+    """(node, links, root, large): of each class in wanted (node, doc_id, mark, comp, keys), by the groups it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for part in slices(batch, 3, 1 << 20):
                 blobs = pa.array([s.tobytes() for s in shingler.sets(part.column(3))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], blobs], names=["node", "comp", "size", "set"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], blobs], names=["node", "comp", "keys", "set"])
 
+    key = "struct<g:bigint,i:bigint,j:bigint,b:bigint,own:bigint>"
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(_text()).alias("m"), _text().alias("text"))
+    # hashed by partition: ids of classes that have a candidate, a small part of the texts that they meet, which then need no sort
     rows = rows.join(wanted.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")))
-    rows = rows.select("node", "comp", "size", "text").mapInArrow(run, "node long, comp long, size long, set binary")
-
-    # Small components share groups by a hash; a large one has a group for every two of its blocks (and each with itself).
-    groups = max(1, -(-wanted.count() // GROUP))
-    n = F.when(F.col("size") > LARGE, F.ceil(F.col("size") / BLOCK)).otherwise(0)
-    own = F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.struct(F.col("comp").alias("g"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    alone = F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    rows = rows.withColumn("key", F.explode(F.when(n > 0, meet).otherwise(alone))).withColumn("own", own).select("key.*", "own", "node", "comp", "set")
+    rows = rows.select("node", "comp", "keys", "text").mapInArrow(run, f"node long, comp long, keys array<{key}>, set binary")
+    rows = rows.select(F.explode("keys").alias("key"), "node", "comp", "set").select("key.*", "node", "comp", "set")
 
     def check(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        _, i, j, band = (k.as_py() for k in key)
         nodes, comp, own = (t[c].to_numpy() for c in ("node", "comp", "own"))
+        comp = comp if i < 0 else np.zeros(len(nodes), np.int64)
         order = np.lexsort((nodes, comp))
         order = order[np.concatenate([[True], nodes[order][1:] != nodes[order][:-1]])]  # rows equal in id and text come twice
         nodes, comp, own = nodes[order], comp[order], own[order]
@@ -204,35 +240,41 @@ def _verified(docs: DataFrame, wanted: DataFrame, words: int, threshold: float)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             every = np.arange(b - a)
             left, right = (every, None) if i == j else (every[own[a:b] == i], every[own[a:b] == j])
-            count[a:b], root[a:b] = _links(nodes[a:b], sets[a:b], left, right, threshold)
+            count[a:b], root[a:b] = _links(nodes[a:b], left, right, Verifier(sets[a:b], threshold, band, not exact))
         return pa.table({"node": nodes, "links": count, "root": root, "large": pa.array([i >= 0] * len(nodes), pa.bool_())})
 
-    return rows.groupBy("g", "i", "j").applyInArrow(check, "node long, links long, root long, large boolean")
+    return rows.groupBy("g", "i", "j", "b").applyInArrow(check, "node long, links long, root long, large boolean")
 
 
-def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(doc_id, mark, class_id, first_mark, copies, links) of each document: its near-duplicate class and its links.
 
     Two documents are linked where the Jaccard similarity of their sets of `words`-word shingles is `threshold` or more;
     classes are the connected components. class_id is the least doc_id of the class, first_mark the hash of that
     document's text. copies counts the documents of the same set of shingles, this one included; links the other sets that are
     linked with it. A text of fewer words is one shingle; one without words (or null) is no one's copy and a class of its own.
-    Rows equal in doc_id and text each count as a copy. A null doc_id is the least. Other columns are not carried.
+    Rows equal in doc_id and text each count as a copy. A null doc_id is the least. Other columns, whatever their names, are not carried; an empty table gives no rows. A very long
+    text is one set of shingles, of which a group holds as many as SHINGLES for each of its classes. With exact, no link is lost; without, one of similarity 0.8
+    is with probability 1.5e-5 (no band is shared) and 1e-6 (pruned).
     """
-    rows = saved(_described(docs, words), "sets")
+    rows = saved(_described(docs, words, threshold, exact), "sets")
     some = rows.filter("n > 0")
     each = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("n").alias("n"))
     classes = saved(each.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    hits = classes.select("node", F.explode("bands").alias("band"))
+    hits = classes.select("node", F.posexplode("bands").alias("b", "band")).withColumn("b", F.col("b").cast("long"))
     centres = hits.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("c")).filter("c > 1").drop("c")
     edges = hits.join(centres, "band").filter("node <> v").select(F.col("node").alias("u"), "v")
-    comp = saved(components(edges), "candidates")
-    comp = comp.join(classes.select("node", "rep.*", "n"), "node")
+    candidates = components(edges)
+    comp = candidates.join(classes.select("node", "rep.*", "n"), "node")
     sizes = comp.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / SHINGLES)).alias("size"))
-    wanted = saved(comp.join(sizes, "root").select("node", "doc_id", "mark", F.col("root").alias("comp"), "size"), "wanted")
+    placed = saved(comp.join(sizes, "root").select("node", "doc_id", "mark", "n", F.col("root").alias("comp"), "size"), "placed")
+    drop_saved(candidates)
+    wanted = saved(_meetings(placed, hits, exact), "wanted")
+    drop_saved(placed)
 
-    found = saved(_verified(docs, wanted, words, threshold), "links")
+    found = saved(_verified(docs, wanted, words, threshold, exact), "links")
+    drop_saved(wanted)
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("large"), F.col("root"))).alias("root"))
     whole = components(found.filter("large AND node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))).select("node", F.col("root").alias("joined"))
     nodes = classes.select("node", "k1", "k2", "rep", "copies").join(links, "node", "left").join(whole, "node", "left")

@@ -173,8 +173,8 @@ def near_texts(seed, n=120):
     return texts
 
 
-def got(df):
-    return sorted((r["doc_id"], r["class_id"], r["copies"], r["links"]) for r in J.similar(df).collect())
+def got(df, **options):
+    return sorted((r["doc_id"], r["class_id"], r["copies"], r["links"]) for r in J.similar(df, **options).collect())
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -189,6 +189,25 @@ def test_large_components_are_split_into_blocks(spark, monkeypatch):
     assert got(documents(spark, texts)) == similar(list(enumerate(texts)))
 
 
+def test_components_of_many_blocks_meet_by_band(spark, monkeypatch):
+    for name, value in (("LARGE", 4), ("BLOCK", 3), ("MOST_BLOCKS", 2)):
+        monkeypatch.setattr(J, name, value)
+    texts = near_texts(4, 80)
+    assert got(documents(spark, texts)) == similar(list(enumerate(texts)))
+
+
+def test_the_exact_way_needs_no_band(spark):
+    texts = near_texts(3)
+    assert got(documents(spark, texts), exact=True) == similar(list(enumerate(texts)))
+    r = random.Random(8)
+    for _ in range(300):  # any two sets of the threshold share a shingle of their prefixes
+        whole = {r.randrange(10**9) for _ in range(r.randrange(1, 60))}
+        a, b = (sorted(x for x in whole if r.random() > 0.1) for _ in range(2))
+        if a and b and 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)):
+            x, y = J.prefixes([J.np.array(a, J.np.uint64), J.np.array(b, J.np.uint64)])
+            assert set(x.tolist()) & set(y.tolist())
+
+
 def test_near_duplicates_query(spark):
     rows = [(x["doc_id"], x["text"]) for x in table(spark, SF, "documents").collect()]
     assert sorted(map(tuple, J.op10_jaccard_join(spark, SF).collect())) == similar(rows)

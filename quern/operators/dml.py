@@ -1,11 +1,12 @@
 """Data changes as new snapshots: each statement returns the table's next rows and how many it affected.
 
-Nothing is changed in place; write_snapshot() makes a snapshot the current one by a single rename of a pointer, so
-readers see the old or the new rows. There is one writer at a time; transactions over several statements are not offered.
+Nothing is changed in place; write_snapshot() makes a snapshot the current one by a single rename, so
+readers see the old or the new rows. Statements as text, transactions and increments are in quern.plans.session.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -72,11 +73,20 @@ def insert_new(rows: DataFrame, new: DataFrame, table: Table, columns: list[str]
     return Change(rows.unionByName(new), new) if absent(rows, new, list(table.key)) else Change(rows, new.limit(0))
 
 
-def replace(rows: DataFrame, new: DataFrame, table: Table, columns: list[str] | None = None) -> Change:
-    """Whole rows, by key: the last one given wins; columns that aren't given become NULL."""
-    new = _aligned(new, table, columns)
-    last = new.withColumn("_n", F.row_number().over(Window.partitionBy(*table.key).orderBy(F.monotonically_increasing_id().desc()))).filter("_n = 1").drop("_n")
-    return Change(rows.join(last, list(table.key), "left_anti").unionByName(last), last)
+def replace(rows: DataFrame, new: DataFrame, table: Table, columns: list[str] | None = None, order: str | None = None) -> Change:
+    """Whole rows, by key; columns that aren't given become NULL. Of rows of one key that with the greatest `order` (a column of new that is
+    not written) wins; without it a key must not be given twice."""
+    if order:
+        names = columns or [c for c in new.columns if c != order]
+        placed = new.select(*[c for c in new.columns if c != order], order).toDF(*names, "_place")
+        winner = Window.partitionBy(*table.key).orderBy(F.desc("_place"))
+        last = _aligned(placed.withColumn("_n", F.row_number().over(winner)).filter("_n = 1").drop("_n", "_place"), table, names)
+    else:
+        last = _aligned(new, table, columns)
+        if not last.groupBy(*table.key).count().filter("count > 1").isEmpty():
+            raise ValueError("a key is given twice; name the column that orders its rows")
+    match = [rows[k].eqNullSafe(last[k]) for k in table.key]
+    return Change(rows.join(last, match, "left_anti").unionByName(last), last)
 
 
 def _where(where: Column | str) -> Column:
@@ -112,28 +122,24 @@ def when(statement: Change, condition: Callable[[int], bool], current: DataFrame
 
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Write a version under root and make it current; the pointer is replaced by one rename."""
-    spark = df.sparkSession
-    path = f"{root.rstrip('/')}/v{version:012d}"
-    df.write.mode("errorifexists").parquet(path)
-    fs, p = _files(spark, root)
-    new, now = p(f"{root}/NEXT"), p(f"{root}/CURRENT")
-    out = fs.create(new, True)
-    out.write(bytearray(f"v{version:012d}".encode()))
-    out.close()
-    fs.delete(now, False)
-    if not fs.rename(new, now):
-        raise OSError(f"{now} can't be replaced")
+    """Write a version under root; it becomes current by one rename of its whole folder. A version that is there already is an error."""
+    fs, p = _files(df.sparkSession, root)
+    draft, path = f"{root.rstrip('/')}/draft-{uuid.uuid4().hex}", f"{root.rstrip('/')}/v{version:012d}"
+    df.write.parquet(draft)
+    if fs.exists(p(path)) or not fs.rename(p(draft), p(path)):
+        fs.delete(p(draft), True)
+        raise FileExistsError(f"{path} is there already")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The current (or a given) version; if a writer was lost between dropping and renaming the pointer, its next one."""
+    """The highest (or a given) version."""
+    fs, p = _files(spark, root)
     if version is None:
-        fs, p = _files(spark, root)
-        at = p(f"{root}/CURRENT")
-        at = at if fs.exists(at) else p(f"{root}/NEXT")
-        name = spark.read.text(at.toString()).first()[0]
+        names = [f.getPath().getName() for f in fs.listStatus(p(root))]
+        name = max((n for n in names if n.startswith("v")), default=None)
+        if name is None:
+            raise FileNotFoundError(f"no version under {root}")
     else:
         name = f"v{version:012d}"
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")

@@ -8,7 +8,7 @@ A change row has the key, values, and:
 
 All changes of a key are folded to one before base rows are touched: each column's last setter after the last delete
 wins. That is one aggregation with partial sums before its shuffle, so a key with very many changes costs one row per
-task, and then one join by key, for which base and changes may be bucketed alike.
+task. Base is then the streamed side of left joins with the folded changes: it is not shuffled where these are small enough to be broadcast.
 """
 
 from __future__ import annotations
@@ -51,22 +51,24 @@ def fuse(base: DataFrame, changes: DataFrame, key: list[str], *, after: int | No
     """base as it is after the changes of (after, upto].
 
     A deleted key goes, unless an upsert follows: then its row holds what is set since, NULL elsewhere. A key that only
-    changes have becomes a row. Columns of base that changes lack stay.
+    changes have becomes a row. Columns of base that changes lack stay. A NULL key is a key like others.
     """
     folded = fold(version_range(changes, after, upto), key)
-    d = folded.select(*[F.col(c).alias(f"_d_{c}") for c in folded.columns])
-    match = [F.col(k) == F.col(f"_d_{k}") for k in key]
-    both = base.withColumn("_old", F.lit(True)).join(d, match, "full")
-    changed = F.col(f"_d_{key[0]}").isNotNull()
-    keep = ~changed | F.col("_d__live") | (F.col("_old") & ~F.col("_d__deleted"))
+    d = folded.select(F.lit(True).alias("_d_hit"), *[F.col(c).alias(f"_d_{c}") for c in folded.columns])
+    match = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in key]
+    value = lambda c: F.when(F.col(f"_d__set_{c}"), F.col(f"_d_{c}"))  # noqa: E731  what a change sets, or NULL
+    hit = F.coalesce("_d_hit", F.lit(False))
+    old = base.join(d, match, "left").filter(~hit | F.col("_d__live") | ~F.col("_d__deleted"))
     out = []
     for c in base.columns:
-        if c in key:
-            out.append(F.coalesce(c, f"_d_{c}").alias(c))
-        else:
-            was = F.when(F.coalesce(F.col("_d__deleted"), F.lit(False)), None).otherwise(F.col(c))
-            out.append((F.when(F.col(f"_d__set_{c}"), F.col(f"_d_{c}")).otherwise(was) if c in folded.columns else was).alias(c))
-    return both.filter(F.coalesce(keep, F.lit(False))).select(*out)
+        was = F.when(hit & F.col("_d__deleted"), None).otherwise(F.col(c))
+        out.append(F.col(c) if c in key else (F.when(hit & F.col(f"_d__set_{c}"), F.col(f"_d_{c}")).otherwise(was) if c in folded.columns else was).alias(c))
+    # keys that only changes have: those of base that changed are found first, as few as the changes
+    known = base.select(*key).join(d, match, "left_semi").select(*[F.col(k).alias(f"_b_{k}") for k in key])
+    new = d.filter("_d__live").join(known, [F.col(f"_d_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in key], "left_anti")
+    kinds = {f.name: f.dataType for f in base.schema}
+    fresh = [(F.col(f"_d_{c}") if c in key else value(c) if c in folded.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in base.columns]
+    return old.select(*out).unionByName(new.select(*fresh))
 
 
 def merge_changes(*many: DataFrame) -> DataFrame:

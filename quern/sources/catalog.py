@@ -67,6 +67,7 @@ class Table:
     modified: str | None = None  # a column that holds the time of the last change
     codec: str = "snappy"
     options: dict = field(default_factory=dict)
+    defaults: dict = field(default_factory=dict)  # by column, as SQL literals
 
     @property
     def schema(self) -> T.StructType:

@@ -29,9 +29,13 @@ def aggregate(name: str, c: Column | str = "*", *, distinct: bool = False) -> Co
     return (DISTINCT if distinct else AGGREGATES)[name.lower()](c)
 
 
-def group(df: DataFrame, keys: list, aggs: dict[str, Column], *, having: Column | None = None, first: list[str] = ()) -> DataFrame:
-    """Grouped (or, without keys, scalar) aggregates under their names; `first` adds columns with some row's value of each group."""
-    out = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()], *[F.first(c).alias(c) for c in first])
+def group(df: DataFrame, keys: list, aggs: dict[str, Column], *, having: Column | None = None, first: list[str] = (), by: list[str] = ()) -> DataFrame:
+    """Grouped (or, without keys, scalar) aggregates under their names; `first` adds columns outside the keys, with the values of each group's first row in the order of `by`."""
+    if first and not by:
+        raise ValueError("the first row of a group needs an order")
+    row = F.min_by(F.struct(*first), F.struct(*by)) if first else None
+    out = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()], *([row.alias("_first")] if first else []))
+    out = out.select(*[c for c in out.columns if c != "_first"], *[F.col("_first")[c].alias(c) for c in first]) if first else out
     return out if having is None else out.filter(having)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.predicates import legacy_like
 from quern.operators.relational import aggregate, limit
+from quern.plans.infix import infix
 
 #: The seven condition kinds, and the four functions that groups may use.
 CONDITIONS = {
@@ -29,6 +30,7 @@ FUNCTIONS = ("sum", "count", "max", "min")
 class Scan:
     def __init__(self, df: DataFrame):
         self._df, self._columns, self._computed, self._where, self._having = df, [], {}, [], []
+        self._infix: dict[str, Column] = {}
         self._keys, self._aggs, self._order, self._limit, self._offset, self._ratios = [], {}, [], None, 0, {}
 
     def columns(self, *names: str) -> Scan:
@@ -40,6 +42,16 @@ class Scan:
         self._computed |= expressions
         return self
 
+    def infix(self, **expressions: str) -> Scan:
+        """Columns from expressions of the small infix language over backquoted columns."""
+        self._infix |= {n: infix(e) for n, e in expressions.items()}
+        return self
+
+    def where_infix(self, condition: str) -> Scan:
+        """A condition of the infix language."""
+        self._where.append(infix(condition))
+        return self
+
     def where(self, name: str, kind: str, value) -> Scan:
         """All conditions must hold."""
         self._where.append(CONDITIONS[kind](F.col(name), F.lit(value)))
@@ -87,10 +99,10 @@ class Scan:
 
     def run(self) -> DataFrame:
         every = lambda cs: reduce(lambda a, b: a & b, cs)
-        df = self._df.withColumns({n: F.expr(e) for n, e in self._computed.items()})
+        df = self._df.withColumns({**{n: F.expr(e) for n, e in self._computed.items()}, **self._infix})
         if self._where:
             df = df.filter(every(self._where))
-        shown: list[Column | str] = [*self._columns, *self._computed]
+        shown: list[Column | str] = [*self._columns, *self._computed, *self._infix]
         if self._aggs or self._keys:
             df = df.groupBy(*self._keys).agg(*[aggregate(f, c).alias(n) for n, (f, c) in self._aggs.items()])
             shown = [*self._keys, *self._aggs]

@@ -171,33 +171,84 @@ def key_range(df: DataFrame, column: str, low=None, high=None, *, low_in: bool =
 NOP_MASK = "_set"
 
 
-def read_delimited(spark: SparkSession, path: str, table: Table, *, sep: str = "\x01", null: str = "\\N", nop: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Text rows, one a line, as the table's columns; `columns` names the fields in file order (None skips one).
+#: What stands for the signs that a field can't hold as they are; the escape is doubled first.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _escaped(c: Column, sep: str) -> Column:
+    for sign, written in ESCAPES:
+        c = F.replace(c, F.lit(sign), F.lit(written))
+    return F.replace(c, F.lit(sep), F.lit("\\s"))
+
+
+def _plain(c: Column, sep: str) -> Column:
+    """The field that was written: pairs that begin with the escape are read from left to right."""
+    whole = F.replace(c, F.lit("\\\\"), F.lit("\x00"))  # a doubled escape stands for itself
+    for sign, written in (("\n", "\\n"), ("\r", "\\r"), (sep, "\\s")):
+        whole = F.replace(whole, F.lit(written), F.lit(sign))
+    return F.replace(whole, F.lit("\x00"), F.lit("\\"))
+
+
+def read_delimited(
+    spark: SparkSession, path: str, table: Table, *, sep: str = "\x01", line: str = "\n", null: str = "\\N", nop: str | None = None, columns: list[str] | None = None,
+    title: bool = False, escaped: bool = False, keep_bad: bool = False,
+) -> DataFrame:
+    """Text rows, one a record, as the table's columns; `columns` names the fields in file order (None skips one).
 
     A field that is the null flag is NULL. With a nop flag, a field that is it leaves its column unchanged: the result
-    then has `_set`, the names of the columns that each row sets, as merge-on-read expects it.
+    then has `_set`, the names of the columns that each row sets, as merge-on-read expects it. With a title, records equal to the first one
+    of the path are no rows. escaped reads what write_delimited escapes. A record that has not as many fields, lacks a key, or has a field that is not
+    of its column's type is an error; with keep_bad it is a row with its text in `_bad`.
     """
     names = columns or [n for n, _ in table.columns]
     kinds = {f.name: f.dataType for f in table.schema}
+    raw = spark.read.option("lineSep", line).text(path)
+    if title:
+        first = raw.first()
+        raw = raw.filter(F.col("value") != F.lit(first[0] if first else ""))
     parts = F.split(F.col("value"), re.escape(sep), -1)
-    raw = spark.read.text(path).select(*[F.get(parts, i).alias(n) for i, n in enumerate(names) if n])
     given = [n for n in names if n]
+    fields = raw.select("value", F.size(parts).alias("_n"), *[F.get(parts, i).alias(n) for i, n in enumerate(names) if n])
     blank = lambda n: F.col(n).isNull() | (F.col(n) == null) | ((F.col(n) == nop) if nop is not None else F.lit(False))
-    out = [F.when(~blank(n), F.col(n)).cast(kinds[n]).alias(n) for n in given]
+    text = lambda n: F.when(~blank(n), _plain(F.col(n), sep) if escaped else F.col(n))
+    bad = F.col("_n") != len(names)
+    for n in given:
+        bad |= text(n).isNotNull() & text(n).try_cast(kinds[n]).isNull()
+        if n in table.key:
+            bad |= blank(n)
+    out = [text(n).try_cast(kinds[n]).alias(n) for n in given]
     if nop is not None:
         out.append(F.array_compact(F.array(*[F.when(F.col(n) != nop, F.lit(n)) for n in given])).alias(NOP_MASK))
-    return raw.select(*out)
+    if keep_bad:
+        return fields.select(*out, F.when(F.coalesce(bad, F.lit(True)), F.col("value")).alias("_bad"))
+    fault = F.raise_error(F.concat(F.lit("not a record of "), F.lit(table.name), F.lit(": "), F.col("value")))
+    return fields.select(*[F.when(F.coalesce(bad, F.lit(True)), fault.cast(kinds[n])).otherwise(c).alias(n) if n in kinds else c for n, c in zip([*given, *([NOP_MASK] if nop is not None else [])], out, strict=True)])
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """The records that read_delimited(keep_bad=True) could not read, as text."""
+    return rows.filter("_bad IS NOT NULL").select(F.col("_bad").alias("value"))
 
 
-def write_delimited(df: DataFrame, path: str, *, sep: str = "\x01", null: str = "\\N", columns: list[str] | None = None, where: Column | None = None, limit: int | None = None) -> None:
-    """Chosen columns and rows as text, one line a row."""
+def write_delimited(
+    df: DataFrame, path: str, *, sep: str = "\x01", line: str = "\n", null: str = "\\N", columns: list[str] | None = None, where: Column | None = None, limit: int | None = None, escaped: bool = False
+) -> None:
+    """Chosen columns and rows as text, one record a row. escaped writes separators, line ends and backslashes within fields so that
+    read_delimited(escaped=True) gives them back; without it a value that holds any of the separators is an error."""
     if where is not None:
         df = df.filter(where)
     if limit is not None:
         df = df.limit(limit)
     names = columns or df.columns
-    fields = [F.coalesce(F.col(n).cast("string"), F.lit(null)) for n in names]
-    df.select(F.concat_ws(sep, *fields).alias("value")).write.mode("overwrite").text(path)
+    out = []
+    for n in names:
+        c = F.col(n).cast("string")
+        if escaped:
+            c = _escaped(c, sep)
+        else:
+            c = F.when(c.contains(sep) | c.contains(line), F.raise_error(F.concat(F.lit("a separator in a value: "), c))).otherwise(c)
+        out.append(F.coalesce(c, F.lit(null)))
+    df.select(F.concat_ws(sep, *out).alias("value")).write.mode("overwrite").option("lineSep", line).text(path)
 
 
 def write_base(df: DataFrame, path: str, key: list[str], *, codec: str = "snappy", files: int | None = None, bloom: bool = False) -> None:

@@ -8,6 +8,7 @@ once per batch number; the sinks here write by batch number, so that a batch tha
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,27 @@ def to_partitions(path: str, by: str = "db_partition") -> Callable[[DataFrame, i
         rows.repartition(by).sortWithinPartitions(by, "version", "seq").write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={number:012d}")
 
     return write
+
+
+def routed(observers: dict[str, tuple[Callable[[DataFrame, int], None], list[str] | None]], threads: int = 4, by: str = "db_partition") -> Callable[[DataFrame, int], None]:
+    """A sink that hands each batch to several observers, (sink, its tables or None for all), each once for every router thread.
+
+    A thread's rows are those whose partition falls to it, in order. An observer that fails fails the batch, which is then run again for all of them.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.persist()
+        try:
+            with ThreadPoolExecutor(max_workers=threads) as pool:
+                work = []
+                for sink, tables in observers.values():
+                    mine = rows if tables is None else only_tables(rows, tables)
+                    for i in range(threads):
+                        part = mine.filter(F.pmod(F.col(by), F.lit(threads)) == i)
+                        work.append(pool.submit(sink, part, number * threads + i))
+                for w in work:
+                    w.result()
+        finally:
+            rows.unpersist()
+
+    return write

@@ -41,3 +41,19 @@ def test_scalar_functions_stay_in_the_jvm(spark):
     for name in engine.QUERIES:
         if name.startswith(("f", "pred_")):
             assert not re.search("Python|Arrow|Pandas", plan(spark, name)), name
+
+
+def test_base_is_not_shuffled_for_few_changes(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import merge
+    from quern.sources import catalog as C
+
+    base = C.load(spark, SF, "orders").select("o_orderkey", "o_custkey")
+    few = spark.createDataFrame([(7, 1, 1, 1, "upsert", ["o_custkey"])], "o_orderkey long, o_custkey long, _version long, _seq long, _op string, _set array<string>")
+    out = merge.fuse(base, few, ["o_orderkey"])
+    out.filter(F.col("o_orderkey") < 0).collect()
+    fused = merge.fuse(base, few, ["o_orderkey"])
+    fused.write.format("noop").mode("overwrite").save()
+    final = fused._jdf.queryExecution().executedPlan()
+    assert "FullOuter" not in final.toString() and "BroadcastHashJoin" in fused._jdf.queryExecution().optimizedPlan().toString() + final.toString()

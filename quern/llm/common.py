@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine where that is unset, the warehouse."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/quern-tmp"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back; the folder goes when the JVM ends.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that saved() writes within are deleted at the end, but for those that are to be kept."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Cut lineage: write df as Parquet into the shared folder and read it back; the folder goes with its scratch(), unless it is to be kept, or when the JVM ends.
 
     The written files outlive any executor, so a lost one costs no recomputation beyond this table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _MADE and not keep:
+        _MADE[-1].append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

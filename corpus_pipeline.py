@@ -1,7 +1,11 @@
 """A training-data pipeline over documents: quality, line dedup, near-duplicates, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared folder and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever others docs has beside doc_id and text.
+
+Null and empty texts have no words: the classifier gives them its bias, no stage of copies takes them for anyone's, the mix takes
+nothing of them, so that they don't reach the windows. A null doc_id or source is a value like others; repeated rows are one document's copies, of which the
+third stage keeps one. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard_join, line_dedup, mixing, packing, quality
-from quern.llm.common import saved, table
+from quern.llm.common import drop_saved, saved, scratch, table
 
 
 def _as(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,8 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
+    """The last stage's rows for the documents of sf_dir. A stage's own tables go when it ends, and its input when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            kept = saved(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if i:
+            drop_saved(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

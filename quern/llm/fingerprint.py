@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,17 +25,28 @@ BUCKETS = 256
 #: about that of independent quartiles, 256 * (0 * 4 + 1 * 6 + 2 * 4 + 6 * 2) / 16.
 STEP = np.array([0, 1, 2, 6], np.int64)
 BOUND = 416
+#: Bytes of a long text that are looked at at once.
+PIECE = 1 << 20
 
 
-def _counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Bucket counts of the triplets within each text."""
-    n = len(off) - 1
-    if len(data) < 3:
-        return np.zeros((n, BUCKETS), np.int64)
+def _keys(data: np.ndarray) -> np.ndarray:
+    """The bucket of each triplet."""
     wide = data.astype(np.uint32)
     key = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
     key *= np.uint32(0x9E3779B1)
     key >>= np.uint32(24)
+    return key.astype(np.intp)
+
+
+def _counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bucket counts of the triplets within each text; those of a single text are counted piece by piece."""
+    n = len(off) - 1
+    if len(data) < 3:
+        return np.zeros((n, BUCKETS), np.int64)
+    if n == 1:
+        parts = (_keys(data[i : i + PIECE + 2]) for i in range(0, len(data) - 2, PIECE))
+        return sum(np.bincount(k, minlength=BUCKETS) for k in parts)[None, :]
+    key = _keys(data)
     at = np.repeat(np.arange(n), np.diff(off))[: len(key)] * BUCKETS + key
     keep = np.ones(len(key), bool)
     for back in (2, 1):  # a triplet that would run into the next text
@@ -124,18 +136,20 @@ def edit_probe(docs: DataFrame) -> DataFrame:
     Documents are dealt out by ranges of doc_id once, and each task compares its neighbours in order. The one
     neighbour it lacks is the first document of the range below: each task also gives its first and last document,
     as many rows as there are ranges, and those pairs are compared afterwards. Rows with equal doc_id follow each
-    other by a hash of their text; a null doc_id comes last; a null text is empty; no rows give no rows.
+    other by a hash of their text, and repeated rows may lie in several ranges; a null doc_id comes last; a null text is empty; no rows give no rows. Other columns, whatever
+    their names, are not carried. A very long text is counted piece by piece.
     """
-    kinds = "kind int, mark long, text string"
-    mixed = [*RESULT, "kind", "mark", "text"]
+    kinds = "kind int, part int, text string"
+    mixed = [*RESULT, "kind", "part", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the document whose follower has not come yet
+        part_id = TaskContext.get().partitionId()  # ranges are numbered in order
 
         def ends(kind: int) -> pa.RecordBatch:
-            doc, mark, text = held
+            doc, _, text = held
             nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *nothing, pa.array([kind], pa.int32()), pa.array([mark], pa.int64()), pa.array([text], pa.string())], names=mixed)
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *nothing, pa.array([kind], pa.int32()), pa.array([part_id], pa.int32()), pa.array([text], pa.string())], names=mixed)
 
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
@@ -150,19 +164,19 @@ def edit_probe(docs: DataFrame) -> DataFrame:
                 texts = [r[2] for r in rows]
                 columns = _compared([r[0] for r in rows], texts, [*texts[1:], held[2]])
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=mixed)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=mixed)
         if held is not None:
             yield ends(2)
 
-    order = [F.desc_nulls_last("doc_id"), F.desc("mark")]
-    by = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"))
-    done = saved(by.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{RESULT_SCHEMA}, {kinds}"), "edits")
+    order = [F.desc_nulls_last("doc_id"), F.desc("mark"), F.asc("lot")]
+    by = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("lot"))
+    done = by.repartitionByRange(*order).sortWithinPartitions(*order).drop("lot")
+    done = saved(done.mapInArrow(run, f"{RESULT_SCHEMA}, {kinds}"), "edits")
 
-    # One first and one last document of each range: the last of one meets the first of the next.
-    among = Window.partitionBy("kind")
-    rim = done.filter("kind > 0").select("doc_id", "text", "kind", F.row_number().over(among.orderBy(*order)).alias("place"), F.count("*").over(among).alias("ranges"))
-    firsts = rim.filter("kind = 1").select("place", F.col("text").alias("after"))
-    lasts = rim.filter("kind = 2").withColumn("place", F.col("place") % F.col("ranges") + 1)
+    # One first and one last document of each range: the last of one meets the first of the next. Only their numbers are put in order.
+    every = done.filter("kind = 1").select("part", F.row_number().over(Window.orderBy("part")).alias("place"), F.count("*").over(Window.partitionBy()).alias("ranges"))
+    firsts = done.filter("kind = 1").join(every, "part").select("place", F.col("text").alias("after"))
+    lasts = done.filter("kind = 2").join(every, "part").select("doc_id", "text", (F.col("place") % F.col("ranges") + 1).alias("place"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 import hashlib
 
 import numpy as np
-from helpers import SF, empty, odd, odd_rows
+from helpers import SF, documents, empty, odd, odd_rows
 
 from quern.llm import fingerprint as fp
 from quern.llm.common import table
@@ -60,3 +60,18 @@ def test_round_trip_of_digests():
     a = fp.digests(*fp.joined(["hello world, hello", "", "ab", "é" * 99]))
     b = fp.decoded(fp.encoded(*a))
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and (fp.likeness(a, b) == 1).all()
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    data = np.frombuffer(bytes(range(256)) * 40, np.uint8)
+    whole = fp._counts(np.concatenate([data, data[:0]]), np.array([0, len(data), len(data)]))[0]
+    for piece in (7, 100, 1 << 20):
+        monkeypatch.setattr(fp, "PIECE", piece)
+        assert (fp._counts(data, np.array([0, len(data)]))[0] == whole).all()
+
+
+def test_repeated_rows_over_several_ranges(spark):
+    docs = documents(spark, ["same text of all"] * 200 + ["other"], [5] * 200 + [9]).repartition(4)
+    rows = fp.edit_probe(docs).collect()
+    assert len(rows) == 201 and len({tuple(r) for r in rows if r["doc_id"] == 5 and r["near_next"] == 1}) == 1
+    assert sum(r["near_next"] == 1 for r in rows) == 199

@@ -2,9 +2,9 @@
 
 A shard's tree splits its vectors by their distance to a vantage point, again and again, down to leaves. By the
 triangle inequality each split bounds from below how near a leaf can come to a query, and the stored distances of every vector to the
-upper vantage points bound how near that vector can. A query visits the leaves in
-order of their bound and stops where bound * factor exceeds the distance of its k-th neighbour so far; within a leaf it skips the vectors whose
-bound * factor does: factor 1 gives exact results, a larger one computes fewer distances.
+upper vantage points bound how near that vector can. A query visits the leaves of least
+bound first, and then those others whose bound * factor does not exceed the distance of its k-th neighbour so far; within a leaf it passes over the vectors whose
+bound * factor does: factor 1 gives exact results, a larger one considers fewer vectors.
 
 Shards are cells of space: an upper vantage-point tree, fitted on a bounded sample, assigns every vector to its cell, and a cell with
 many vectors is several shards. A query first searches the cell that it lies in. The distance of its k-th neighbour there
@@ -26,6 +26,8 @@ from quern.llm.common import saved, table
 
 #: Vectors of a shard and queries of a block (both on average: rows are dealt out by a hash), vectors of a leaf.
 SHARD, BLOCK, LEAF = 8192, 16_384, 64
+#: Queries that are searched at once.
+STEP = 1024
 #: How far the triangle inequality is relaxed; 1 is exact.
 FACTOR = 3.5
 #: Levels of a shard's tree whose vantage points have a stored distance to every vector.
@@ -34,6 +36,8 @@ UPPER = 5
 CELLS, SAMPLE = 64, 64
 #: Bounds are lowered by this share of the lengths involved, as distances to vantage points are rounded.
 SLIP = 1e-7
+#: The same for stored distances, which are single precision; leaves that a query visits in the order of their bound before all others.
+ROUND, NEAREST = 1e-6, 2
 
 
 class Tree:
@@ -47,8 +51,9 @@ class Tree:
         self.leaves: list[np.ndarray] = []
         self.upper: list[int] = []  # numbers of the vantage points of the upper levels
         self.root = self._build(np.arange(len(x)), leaf, rng, 0)
-        self.far = np.stack([np.sqrt(((x - x[self.vantage[n]]) ** 2).sum(axis=1)) for n in self.upper]) if self.upper else np.zeros((0, len(x)))
-        self.seen = 0  # distances to vectors of leaves that were computed
+        self.square = (x**2).sum(axis=1)
+        self.far = np.stack([np.sqrt(((x - x[self.vantage[n]]) ** 2).sum(axis=1)) for n in self.upper]).astype(np.float32) if self.upper else np.zeros((0, len(x)), np.float32)
+        self.seen = 0  # pairs of a query and a vector of a leaf that no bound ruled out
 
     def _build(self, rows: np.ndarray, leaf: int, rng: np.random.Generator, depth: int) -> int:
         if len(rows) > leaf:
@@ -107,35 +112,44 @@ class Tree:
         limit = np.full(n, np.inf) if limit is None else limit
         low = self.bounds(q)
         d, slip = self.distances(q)
-        upper, slack = d[:, self.upper], slip[:, self.upper].max(axis=1, initial=0)
-        order = np.argsort(low, axis=1, kind="stable")
-        active = np.arange(n)
-        for turn in range(len(self.leaves)):
-            leaf = order[active, turn]
-            go = low[active, leaf] * factor <= np.minimum(best[active, -1], limit[active])
-            active, leaf = active[go], leaf[go]
-            if not len(active):
-                break
-            by = np.argsort(leaf, kind="stable")
-            for group in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
-                rows, here = self.leaves[leaf[group[0]]], active[group]
-                bound = np.zeros((len(here), len(rows)))
-                for u in range(len(self.upper)):
-                    np.maximum(bound, np.abs(upper[here, u, None] - self.far[u, rows]), out=bound)
-                most = np.minimum(best[here, -1], limit[here])
-                near = ((bound - slack[here, None]) * factor <= most[:, None]) & (own[here, None] != ids[None, rows])
-                if not near.any():
-                    continue
-                i, j = np.nonzero(near)
-                self.seen += len(i)
-                gap = q[here[i]]
-                gap -= self.x[rows[j]]
-                d = np.full(near.shape, np.inf)
-                d[i, j] = np.sqrt((gap**2).sum(axis=1))
-                both = np.concatenate([best[here], d], axis=1)
-                names = np.concatenate([who[here], np.broadcast_to(ids[rows], d.shape)], axis=1)
-                first = np.lexsort((names, both), axis=1)[:, :k]
-                best[here], who[here] = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+        upper, slack = d[:, self.upper].T.astype(np.float32), slip[:, self.upper].max(axis=1, initial=0) + ROUND * d[:, self.upper].max(axis=1, initial=0)
+        square = (q**2).sum(axis=1)
+
+        def visit(leaf: int, here: np.ndarray) -> None:
+            rows = self.leaves[leaf]
+            most = np.minimum(best[here, -1], limit[here])
+            bound = np.zeros((len(here), len(rows)), np.float32)
+            for u, far in zip(upper, self.far, strict=True):
+                np.maximum(bound, np.abs(u[here, None] - far[rows]), out=bound)
+            near = ((bound - slack[here, None]) * factor <= most[:, None]) & (own[here, None] != ids[None, rows])
+            self.seen += int(near.sum())
+            # those that may be among the nearest, by one product of matrices, are then measured exactly
+            about = square[here, None] + self.square[rows] - 2 * q[here] @ self.x[rows].T
+            near &= about <= most[:, None] ** 2 + SLIP * (square[here, None] + self.square[rows])
+            some = np.flatnonzero(near.any(axis=1))
+            if not len(some):
+                return
+            near, here = near[some], here[some]
+            i, j = np.nonzero(near)
+            found = np.full(near.shape, np.inf)
+            found[i, j] = np.sqrt(((q[here[i]] - self.x[rows[j]]) ** 2).sum(axis=1))
+            both = np.concatenate([best[here], found], axis=1)
+            names = np.concatenate([who[here], np.broadcast_to(ids[rows], found.shape)], axis=1)
+            first = np.lexsort((names, both), axis=1)[:, :k]
+            best[here], who[here] = np.take_along_axis(both, first, 1), np.take_along_axis(names, first, 1)
+
+        # each query's own leaves first, for a near limit; then leaf by leaf all queries that still must look there
+        order = np.argsort(low, axis=1, kind="stable")[:, :NEAREST]
+        for turn in range(order.shape[1]):
+            by = np.argsort(order[:, turn], kind="stable")
+            for group in np.split(by, np.flatnonzero(np.diff(order[by, turn])) + 1):
+                visit(int(order[group[0], turn]), group)
+        done = np.zeros(low.shape, bool)
+        np.put_along_axis(done, order, True, 1)
+        for leaf in np.argsort(low.mean(axis=0), kind="stable").tolist():
+            here = np.flatnonzero(~done[:, leaf] & (low[:, leaf] * factor <= np.minimum(best[:, -1], limit)))
+            if len(here):
+                visit(leaf, here)
         who[np.isinf(best)] = -1
         return best, who
 
@@ -264,10 +278,10 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10, factor: float =
             (ids, x, _), (own, asked, order) = arrays(left), arrays(right)
             limit = right["limit"].to_numpy()[order]
             tree = Tree(x)
-            for i in range(0, len(own), 256):
-                d, who = tree.search(asked[i : i + 256], own[i : i + 256], ids, k, factor, limit[i : i + 256])
-                some = np.isfinite(d) & (d <= limit[i : i + 256, None])
-                found["query_id"].append(np.repeat(own[i : i + 256], some.sum(axis=1)))
+            for i in range(0, len(own), STEP):
+                d, who = tree.search(asked[i : i + STEP], own[i : i + STEP], ids, k, factor, limit[i : i + STEP])
+                some = np.isfinite(d) & (d <= limit[i : i + STEP, None])
+                found["query_id"].append(np.repeat(own[i : i + STEP], some.sum(axis=1)))
                 found["vec_id"].append(who[some])
                 found["score"].append(d[some])
         flat = {n: np.concatenate(v) if v else np.zeros(0, np.float64 if n == "score" else np.int64) for n, v in found.items()}

@@ -754,6 +754,14 @@ def d11_transaction(t):
     return s.sql("select * from nation")
 
 
+@query("SELECT * FROM (VALUES ('ann', 'nation', 'INSERT'), ('ann', 'nation', 'SELECT'), ('bob', 'region', 'SELECT')) v(user_name, table_name, privilege)")
+def d18_grants(t):
+    s = _database(t, "nation", "region")
+    for text in ("create user 'ann' identified by 'a', 'bob' identified by 'b'", "grant insert, select, delete on nation to 'ann'", "revoke delete on nation from 'ann'", "grant select on region to 'bob'"):
+        s.sql(text)
+    return s.sql("select * from __all_table_privilege")
+
+
 @query(f"SELECT n_nationkey, n_name AS label, CASE WHEN n_nationkey = 77 THEN 1.5 END AS n_area, CAST(NULL AS BIGINT) AS n_regionkey FROM (SELECT * FROM ({_N}) UNION ALL SELECT 77, 'added', NULL)")
 def d12_sql_alter(t):
     s = _database(t, "nation")

@@ -44,7 +44,7 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
         done = max((n for n in names if n.isdigit()), default=None)
         if done is None:
-            return {"version": 0, "tables": {}}
+            return {"version": 0, "tables": {}, "users": {}}
         return json.loads(self.spark.read.text(f"{self.root}/manifest/{done}", wholetext=True).first()[0])
 
     def commit(self, state: dict, changes: list[tuple[str, DataFrame]] = ()) -> dict:
@@ -55,7 +55,7 @@ class Store:
             path = f"{self.root}/{name}/increment-{uuid.uuid4().hex}"
             rows.write.parquet(path)
             tables[name]["increments"] = [*tables[name]["increments"], [version, path]]
-        new = {"version": version, "tables": tables}
+        new = {**state, "version": version, "tables": tables}
         draft, final = self._path(f"{self.root}/manifest/draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/{version:012d}")
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(new).encode()))

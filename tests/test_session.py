@@ -227,3 +227,43 @@ def test_reading_statements():
     for bad in ("insert into t values (1", "update t v = 1", "delete from t where k = 1 limit 3 when 1 then"):
         with pytest.raises(ValueError):
             st.pinned(st.change(bad).where + " oops", ["j"])
+
+
+def test_users_and_grants(s, spark):
+    log_in = lambda name, password: Session(spark, store=Store(spark, s.store.root), user=name, password=password)
+    s.sql("create table t (k int primary key, v int)")
+    s.sql("create table u (k int primary key)")
+    s.sql("create user 'ann' identified by 'one', 'bob' identified by 'two'")
+    for name, password in (("ann", "two"), ("eve", "one")):
+        with pytest.raises(PermissionError):
+            log_in(name, password)
+    ann = log_in("ann", "one")
+    for text in ("insert into t values (1, 1)", "select * from t", "create table x (k int primary key)", "grant select on t to 'ann'", "drop user 'bob'"):
+        with pytest.raises(PermissionError):
+            ann.sql(text)
+    s.sql("grant insert, select on t to 'ann', 'bob'")
+    assert n(ann, "insert into t values (1, 1)") == 1 and rows(ann, "select v from t") == [(1,)] and ann.sql("select 1 as x").count() == 1
+    with pytest.raises(PermissionError):
+        ann.sql("select * from t join u on t.k = u.k")
+    assert rows(ann, "show grants") == rows(s, "show grants for 'ann'") == [("GRANT INSERT, SELECT ON t TO 'ann'",)]
+    s.sql("revoke insert on t from 'ann'")
+    with pytest.raises(PermissionError):
+        ann.sql("insert into t values (2, 2)")
+    s.sql("grant all privileges on * to 'bob'")
+    bob = log_in("bob", "two")
+    bob.sql("create table y (k int primary key)")
+    assert rows(bob, "show grants")[0] == ("GRANT ALL PRIVILEGES ON * TO 'bob'",)
+    with pytest.raises(PermissionError):
+        bob.sql("grant select on t to 'ann'")
+    s.sql("set password for 'ann' = 'three'")
+    s.sql("rename user 'ann' to 'anna'")
+    assert log_in("anna", "three").user == "anna"
+    s.sql("alter user 'anna' locked")
+    with pytest.raises(PermissionError):
+        log_in("anna", "three")
+    s.sql("drop user 'bob'")
+    assert rows(s, "select user_name, is_locked from __all_user") == [("anna", 1)]
+    for bad in ("create user 'anna' identified by 'x'", "drop user 'bob'", "grant fly on t to 'anna'", "revoke select on t from 'bob'"):
+        with pytest.raises(StatementError):
+            s.sql(bad)
+    assert "three" not in str(s.store.state())

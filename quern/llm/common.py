@@ -185,17 +185,26 @@ class WordHasher:
         self.rolls = [Rolling(b) for b in BASES]
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first hash, second hash, index of each text's first word); bytes are taken a megabyte at a time."""
-        starts, ends, first = word_bounds(data, off)
-        out = np.empty((2, len(starts)), np.uint64)
-        cuts = np.searchsorted(starts, np.arange(0, len(data) + self.STEP, self.STEP))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i < j:
-                low = starts[i]
-                part = data[low : ends[j - 1]]
-                for row, roll in zip(out, self.rolls, strict=True):
-                    row[i:j] = word_hashes(part, starts[i:j] - low, ends[i:j] - low, roll)
-        return out[0], out[1], first
+        """(first hash, second hash, index of each text's first word); bytes are taken a megabyte at a time, cut behind a separator or a text's end."""
+        places, hashes, at, n = [np.zeros(0, np.int64)], [np.zeros((2, 0), np.uint64)], 0, len(data)
+        while at < n:
+            end = min(at + self.STEP, n)
+            if end < n:
+                gap = np.flatnonzero(_SPACE[data[at:end]])
+                cut = int(off[np.searchsorted(off, end, side="right") - 1])
+                end = max(cut, at + int(gap[-1]) + 1 if len(gap) else 0)
+                while end <= at:  # one word fills the step
+                    more = np.flatnonzero(_SPACE[data[at + self.STEP : at + 16 * self.STEP]])
+                    cut = int(off[np.searchsorted(off, at + self.STEP, side="left")])
+                    end = min(cut, at + self.STEP + int(more[0]) + 1 if len(more) else cut)
+            part = data[at:end]
+            inner = off[np.searchsorted(off, at, side="left") : np.searchsorted(off, end, side="right")] - at
+            starts, ends, _ = word_bounds(part, np.concatenate([[0], inner, [end - at]]))
+            places.append(starts + at)
+            hashes.append(np.stack([word_hashes(part, starts, ends, roll) for roll in self.rolls]))
+            at = end
+        one, two = np.concatenate(hashes, axis=1)
+        return one, two, np.searchsorted(np.concatenate(places), off)
 
 
 def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:

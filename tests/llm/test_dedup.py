@@ -247,3 +247,21 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: top(x) for x in root if x not in alone}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_words_do_not_depend_on_the_step(monkeypatch):
+    from quern.llm import common
+
+    r = random.Random(9)
+    texts = ["", " ", "one", "é word  two\tthree", "x" * 700, *(" ".join("w" * r.randrange(1, 40) for _ in range(r.randrange(30))) for _ in range(40)), "end"]
+    raw = [t.encode() for t in texts]
+    data, off = J.np.frombuffer(b"".join(raw), J.np.uint8), J.np.cumsum([0, *map(len, raw)])
+    one, two, first = common.WordHasher()(data, off)
+    assert J.np.diff(first).tolist() == [len(split(t)) for t in texts]
+    for step in (16, 50, 333):
+        monkeypatch.setattr(common.WordHasher, "STEP", step)
+        a, b, c = common.WordHasher()(data, off)
+        assert (a == one).all() and (b == two).all() and (c == first).all()
+    single = {w: h for t, s in zip(texts, first, strict=False) for w, h in zip(split(t), one[s:].tolist(), strict=False)}
+    again, _, _ = common.WordHasher()(J.np.frombuffer("é two".encode(), J.np.uint8), J.np.array([0, 6]))
+    assert again.tolist() == [single["é"], single["two"]]

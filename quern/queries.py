@@ -19,7 +19,7 @@ from quern.plans.session import Session
 from quern.plans.statements import StatementError
 from quern.sources import catalog as C
 from quern.sources.importer import load_files
-from quern.sources.store import Store
+from quern.sources.store import ConcurrentChange, Store
 from quern.streaming import changelog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -762,7 +762,27 @@ def d18_grants(t):
     return s.sql("select * from __all_table_privilege")
 
 
-@query(f"SELECT n_nationkey, n_name AS label, CASE WHEN n_nationkey = 77 THEN 1.5 END AS n_area, CAST(NULL AS BIGINT) AS n_regionkey FROM (SELECT * FROM ({_N}) UNION ALL SELECT 77, 'added', NULL)")
+@query(f"SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE n_name END AS n_name, n_regionkey FROM ({_N})")
+def d6_row_locks(t):
+    """Two transactions at once: other rows don't hinder a commit; rows that were read for update or written do, when another commit changed them."""
+    s = _database(t, "nation")
+    other = Session(s.spark, store=s.store)
+    s.sql("begin")
+    s.sql("update nation set n_name = 'first' where n_nationkey = 1")
+    other.sql("update nation set n_name = 'second' where n_nationkey = 2")
+    s.sql("commit")
+    s.sql("begin")
+    s.sql("select * from nation where n_nationkey = 3 for update")
+    s.sql("update nation set n_name = 'lost' where n_nationkey = 4")
+    other.sql("update nation set n_regionkey = n_regionkey where n_nationkey = 3")
+    try:
+        s.sql("commit")
+    except ConcurrentChange:
+        pass
+    return s.sql("select * from nation")
+
+
+@query(f"SELECT n_nationkey, n_name AS label, CASE WHEN n_nationkey = 77 THEN 1.5::DOUBLE END AS n_area, CAST(NULL AS BIGINT) AS n_regionkey FROM (SELECT * FROM ({_N}) UNION ALL SELECT 77, 'added', NULL)")
 def d12_sql_alter(t):
     s = _database(t, "nation")
     s.sql("alter table nation drop column n_regionkey, add n_area double")

@@ -65,6 +65,34 @@ class Store:
             raise ConcurrentChange(f"version {version} is another writer's")
         return new
 
+    def put(self, state: dict, changes: list[tuple[str, DataFrame]], locked: list[tuple[str, DataFrame]] = ()) -> dict:
+        """As commit, also where others committed since state, if they changed no row that is changed or locked here.
+
+        locked: by table, rows with the key's columns that must be as they were.
+        """
+        while True:
+            try:
+                return self.commit(state, changes)
+            except ConcurrentChange:
+                state = self._rebased(state, [*changes, *locked])
+
+    def _rebased(self, state: dict, held: list[tuple[str, DataFrame]]) -> dict:
+        now = self.state()
+        for name, rows in held:
+            old, new = state["tables"].get(name), now["tables"].get(name)
+            if new is None or any(new[k] != old[k] for k in ("table", "stored", "base")):
+                raise ConcurrentChange(f"{name} was declared anew or merged meanwhile")
+            keys = [new["stored"][k] for k in self.table(now, name).key]
+            seen = [p for _, p in old["increments"]]
+            more = [p for _, p in new["increments"] if p not in seen]
+            if more:
+                schema = T.StructType([f for f in self._schema(new).fields if f.name in keys])
+                theirs = self.spark.read.schema(schema).parquet(*more).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+                same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+                if not rows.select(*keys).join(theirs, same, "left_semi").isEmpty():
+                    raise ConcurrentChange(f"rows of {name} were changed meanwhile")
+        return now
+
     def table(self, state: dict, name: str) -> Table:
         if name not in state["tables"]:
             raise ValueError(f"table {name} does not exist")

@@ -267,3 +267,26 @@ def test_users_and_grants(s, spark):
         with pytest.raises(StatementError):
             s.sql(bad)
     assert "three" not in str(s.store.state())
+
+
+def test_rows_of_others_do_not_hinder_a_commit(s, spark):
+    other = Session(spark, store=Store(spark, s.store.root))
+    s.sql("create table t (k int primary key, a int)")
+    s.sql("insert into t values (1, 1), (2, 2), (3, 3)")
+    s.sql("begin")
+    s.sql("update t set a = 10 where k = 1")
+    other.sql("update t set a = 20 where k = 2")
+    other.sql("insert into t values (4, 4)")
+    s.sql("commit")
+    assert rows(s, "select * from t") == [(1, 10), (2, 20), (3, 3), (4, 4)]
+    for other_does, fails in (("update t set a = 0 where k = 3", True), ("update t set a = 0 where k = 2", False), ("alter table t add b int", True)):
+        s.sql("begin")
+        assert s.sql("select a from t where k = 3 for update").count() == 1
+        s.sql("update t set a = a + 1 where k = 1")
+        other.sql(other_does)
+        if fails:
+            with pytest.raises(ConcurrentChange):
+                s.sql("commit")
+        else:
+            s.sql("commit")
+    assert rows(s, "select k, a from t") == [(1, 11), (2, 0), (3, 0), (4, 4)]

@@ -66,6 +66,20 @@ def drop_saved(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sparse_rows(df: DataFrame, by: list[str]) -> tuple[pa.Table, list[tuple[np.ndarray, np.ndarray]]]:
+    """A bounded sample's rows in order of `by`, and their features (int32 keys, float32 counts) as views of two blocks of memory."""
+    t = df.toArrow()
+    t = t.sort_by([(c, "ascending") for c in by]).combine_chunks()
+    blocks = []
+    for name, kind in (("keys", "<i4"), ("counts", "<f4")):
+        column = t[name].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+        data, off = text_bytes(column)
+        blocks.append((data.tobytes(), off, kind))
+    views = [[np.frombuffer(data, kind, (b - a) // 4, a) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)] for data, off, kind in blocks]
+    return t.drop_columns(["keys", "counts"]), list(zip(*views, strict=True))
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 3 is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

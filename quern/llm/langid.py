@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import held_out, saved, slices, table, text_bytes, trainable
+from quern.llm.common import held_out, saved, slices, sparse_rows, table, text_bytes, trainable
 
 BUCKETS, DIM = 1 << 16, 16
 NGRAMS = (2, 3, 4)
@@ -134,7 +134,7 @@ def features(part: pa.RecordBatch, column: int) -> list[tuple[np.ndarray, np.nda
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE) -> DataFrame:
-    """(lang, keys, counts): features of about per_language trainable documents of each language (`most` in all), chosen by a hash of id and text.
+    """(id, lang, mark, keys, counts): features of about per_language trainable documents of each language (`most` in all), chosen by a hash of id and text.
 
     Features are computed where the texts are read; documents equal in id, language and text teach once.
     """
@@ -152,7 +152,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([k.astype("<i4").tobytes() for k, _ in out]), pa.array([c.astype("<f4").tobytes() for _, c in out])], names=["id", "lang", "mark", "keys", "counts"])
 
     found = chosen.mapInArrow(run, "id string, lang string, mark long, keys binary, counts binary")
-    return found.dropDuplicates(["id", "lang", "mark"]).select("lang", "keys", "counts")
+    return found.dropDuplicates(["id", "lang", "mark"])
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> Model | None:
@@ -161,13 +161,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> M
     Only documents outside the held-out fold teach it; of them a bounded sample, whose features are computed where
     the texts are. A fifth of the sample is kept from training, for the temperature and the rejection score.
     """
-    rows = sorted(((r["lang"], bytes(r["keys"]), bytes(r["counts"])) for r in sample(docs, per_language).collect()))
-    rows = [r for r in rows if r[1]]
+    known, rows = sparse_rows(sample(docs, per_language).filter("octet_length(keys) > 0"), ["lang", "id", "mark"])
     if not rows:
         return None
-    names = sorted({r[0] for r in rows})
+    labels = known["lang"].to_pylist()
+    names = sorted(set(labels))
     number = {x: i for i, x in enumerate(names)}
-    data = [(number[r[0]], np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<f4")) for r in rows]
+    data = [(number[x], *r) for x, r in zip(labels, rows, strict=True)]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     kept, tuned = order[len(order) // 5 :], order[: len(order) // 5]

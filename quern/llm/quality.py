@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BASES, Rolling, held_out, mix64, saved, slices, table, text_bytes, trainable, word_hashes
+from quern.llm.common import BASES, Rolling, held_out, mix64, saved, slices, sparse_rows, table, text_bytes, trainable, word_hashes
 
 BITS = 18
 #: The training sample: about so many labelled documents at most, chosen by a hash of the id.
@@ -133,7 +133,7 @@ def features(texts: pa.Array, grams: Grams) -> list[tuple[np.ndarray, np.ndarray
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(doc_id, y, keys, counts) of about `most` labelled documents that may teach; y is the mean of their labels.
+    """(id, mark, y, keys, counts) of about `most` labelled documents that may teach; y is the mean of their labels.
 
     Ids are chosen by a hash; where these have more than twice `most` rows, so are their rows, by a hash of id and text. Features are
     computed where the texts are read; rows equal in id and text teach once.
@@ -150,31 +150,28 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 3, PIECE):
                 out = features(part.column(3), grams)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([k.astype("<i4").tobytes() for k, _ in out]), pa.array([c.astype("<f4").tobytes() for _, c in out])], names=["doc_id", "y", "mark", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([k.astype("<i4").tobytes() for k, _ in out]), pa.array([c.astype("<f4").tobytes() for _, c in out])], names=["id", "y", "mark", "keys", "counts"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "y", F.xxhash64("text").alias("mark"), "text").filter(lot("doc_id", "mark") < share)
-    found = rows.mapInArrow(run, f"doc_id {kind}, y double, mark long, keys binary, counts binary")
-    return found.dropDuplicates(["doc_id", "mark"]).select("doc_id", "y", "keys", "counts")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.mapInArrow(run, "id string, y double, mark long, keys binary, counts binary").dropDuplicates(["id", "mark"])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, seed: int = 7) -> Model:
     """Learn labels.quality from a bounded sample outside the held-out fold; with no label at all, every score is 0.5."""
-    rows = sorted((str(r["doc_id"]), r["y"], bytes(r["keys"]), bytes(r["counts"])) for r in sample(docs, labels, most).collect())
+    known, rows = sparse_rows(sample(docs, labels, most), ["id", "mark"])
+    truth = known["y"].to_pylist()
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
 
     def weight(at: np.ndarray) -> np.ndarray:
         return -np.sign(z[at]) * np.maximum(np.abs(z[at]) - np.where(at == size, 0, L1), 0) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    data = []
-    for _, y, keys, counts in rows:
-        k, c = np.frombuffer(keys, "<i4"), np.frombuffer(counts, "<f4")
-        data.append((y, np.append(k, size), np.append(c / np.sqrt(max(1, c.sum() / 2)), 1.0)))
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(data)):
-            y, at, x = data[i]
+        for i in rng.permutation(len(rows)):
+            y, (keys, counts) = truth[i], rows[i]
+            at, x = np.append(keys, size), np.append(counts / np.sqrt(max(1, counts.sum() / 2)), 1.0)
             w = weight(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x

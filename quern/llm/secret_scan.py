@@ -185,7 +185,7 @@ def scan(docs: DataFrame, model: Markov | None = None, id_col: str = "doc_id", t
 
 def markov_tokens(text: Column) -> Column:
     """Runs of the alphabet, and of masked characters, that hold LEAST unmasked ones in a row."""
-    return _spans(_found(text, f"[A-Za-z0-9+/_=-{MASK}]{{{LEAST},}}", lambda hit: hit.rlike(TOKEN)), "markov")
+    return _spans(_found(text, f"[A-Za-z0-9+/_={MASK}-]{{{LEAST},}}", lambda hit: hit.rlike(TOKEN)), "markov")
 
 
 def markov_spans(tokens: Column, model: Markov) -> Column:

@@ -91,7 +91,7 @@ def test_added_spans_against_plain_rules(spark, model):
     def added(text):
         taken = [tuple(map(int, s.split(":")[1:])) for s in base(text)]
         left, out = mask(text, taken), []
-        for m in re.finditer(f"[A-Za-z0-9+/_=-{S.MASK}]{{{S.LEAST},}}", left):
+        for m in re.finditer(f"[A-Za-z0-9+/_={S.MASK}-]{{{S.LEAST},}}", left):
             if S.MASK not in m[0] and random(m[0]):
                 out.append((m.start(), m.end()))
                 continue
@@ -107,3 +107,10 @@ def test_added_spans_against_plain_rules(spark, model):
     texts += [r["text"] or "" for r in table(spark, SF, "documents").collect()]
     rows = S.scan(documents(spark, texts), model).select("doc_id", S.listed(S.F.filter("spans", lambda s: s["kind"] == 3)).alias("m")).collect()
     assert {r["doc_id"]: sorted(filter(None, r["m"].split(","))) for r in rows} == {i: sorted(added(t)) for i, t in enumerate(texts)}
+
+
+def test_other_signs_end_a_token(spark, model):
+    key = "q7Zp0XvT3mKd9RfYw2LhB6sNjC4g"
+    texts = [f"<{key}>", f"é?{key}[0]é", f"{key}@中"]
+    rows = S.scan(documents(spark, texts), model).select("doc_id", S.listed(S.F.col("spans")).alias("s")).collect()
+    assert {r["doc_id"]: r["s"] for r in rows} == {i: f"markov:{t.index(key)}:{t.index(key) + len(key)}" for i, t in enumerate(texts)}

@@ -45,7 +45,7 @@ def _once(value: Column, use) -> Column:
 
 def _found(text: Column, pattern: str, keep) -> Column:
     """[(gap before, match, whether keep(match))] in order, with a last gap and no match."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    both = _once(text, lambda t: F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit")))
     return F.transform(both, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.coalesce(x["hit"].isNotNull() & keep(x["hit"]), F.lit(False)).alias("ok")))
 
 
